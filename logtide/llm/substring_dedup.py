@@ -57,7 +57,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _pieces(batch: pa.RecordBatch, length: int, hot: np.ndarray):
+def _pieces(batch: pa.RecordBatch, length: int):
     """Keys, row numbers, first windows, window counts and content hashes of a batch's pieces, with all window hashes."""
     data, offsets = C.text_buffer(batch.column("text"))
     starts, ends, first = C.word_bounds(data, offsets)
@@ -75,9 +75,6 @@ def _pieces(batch: pa.RecordBatch, length: int, hot: np.ndarray):
     where = first[:-1][rows] + inner
     windows = rolling.of(where, where + length)
     keys = least[where]
-    if len(hot):
-        is_hot = np.isin(keys, hot)
-        keys = np.where(is_hot, C.mix(keys ^ windows), keys)
     cut = np.ones(len(rows), bool)
     cut[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
     lo = np.flatnonzero(cut)
@@ -99,7 +96,7 @@ def _emit_pieces(length: int, hot: np.ndarray):
     def run(it):
         seen: dict[int, int] = {}
         for batch in C.batches(it, ["doc_id", "text"]):
-            found = _pieces(batch, length, hot)
+            found = _pieces(batch, length)
             if found is None:
                 continue
             keys, rows, inner, n, content, windows, lo = found
@@ -122,11 +119,17 @@ def _emit_pieces(length: int, hot: np.ndarray):
                 seen.clear()
             seen.update(zip(content[order][new].tolist(), best.tolist(), strict=True))
             keep = np.flatnonzero(~known)
-            if len(keep):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[keep].view(np.int64)), pa.array(docs[keep]), pa.array(at[keep]), pa.array(n[keep].astype(np.int32)), _binary(windows, lo[keep], n[keep])],
-                    ["key", "doc_id", "at", "n", "windows"],
-                )
+            split = np.isin(keys[keep], hot)
+            for part, is_hot in ((keep[~split], False), (keep[split], True)):
+                if not len(part):
+                    continue
+                k, d, a, c, w = keys[part], docs[part], at[part], n[part], lo[part]
+                if is_hot:
+                    # a row a window, each with a key of its own
+                    inside = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                    k, d, a, w = np.repeat(k, c), np.repeat(d, c), np.repeat(a, c) + inside, np.repeat(w, c) + inside
+                    k, c = C.mix(k ^ windows[w]), np.ones(len(w), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d), pa.array(a), pa.array(c.astype(np.int32)), _binary(windows, w, c)], ["key", "doc_id", "at", "n", "windows"])
             sure = np.flatnonzero(known)
             if len(sure):
                 spread = C.mix(docs[sure].astype(np.uint64)).view(np.int64)
@@ -139,7 +142,7 @@ def _emit_hot(length: int):
     def run(it):
         none = np.zeros(0, np.uint64)
         for batch in C.batches(it, ["doc_id", "text"]):
-            found = _pieces(batch, length, none)
+            found = _pieces(batch, length)
             if found is None:
                 continue
             distinct = np.unique(np.stack([found[0], found[4]], 1), axis=0)[:, 0] if len(found[0]) else none

@@ -125,10 +125,14 @@ def _emit_pieces(length: int, hot: np.ndarray):
                     continue
                 k, d, a, c, w = keys[part], docs[part], at[part], n[part], lo[part]
                 if is_hot:
-                    # a row a window, each with a key of its own
-                    inside = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                    k, d, a, w = np.repeat(k, c), np.repeat(d, c), np.repeat(a, c) + inside, np.repeat(w, c) + inside
-                    k, c = C.mix(k ^ windows[w]), np.ones(len(w), np.int64)
+                    # a row a run of equal windows, each with a key of its own
+                    piece = np.repeat(np.arange(len(c)), c)
+                    inside = np.arange(len(piece)) - np.repeat(np.cumsum(c) - c, c)
+                    value = windows[w[piece] + inside]
+                    begin = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])))
+                    c = np.diff(np.append(begin, len(piece)))
+                    inside, piece = inside[begin], piece[begin]
+                    k, d, a, w = C.mix(k[piece] ^ value[begin]), d[piece], a[piece] + inside, w[piece] + inside
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d), pa.array(a), pa.array(c.astype(np.int32)), _binary(windows, w, c)], ["key", "doc_id", "at", "n", "windows"])
             sure = np.flatnonzero(known)
             if len(sure):

@@ -20,27 +20,32 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .packing_lp import configurations
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
 
 def _emit_pieces(path: str, gap: str, end_id: int, capacity: int):
     def run(it):
-        part, seen = TaskContext.get().partitionId(), Counter()
-        end = int(end_id).to_bytes(2, "little")
-        encode = encoder(path, gap).ids
-        for batch in C.batches(it, ["doc_id", "text"], 1 << 20):
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                wide = np.frombuffer(ids + end, "<u2").astype("<u4")
-                for k, start in enumerate(range(0, len(wide), capacity)):
-                    own = wide[start : start + capacity]
-                    for col, v in zip(cols, (doc, k, start, len(own), zlib.crc32(own.tobytes()), part, seen[len(own)]), strict=True):
-                        col.append(v)
-                    seen[len(own)] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        tokens = encoder(path, gap)
+        for batch in C.batches(it, ["doc_id", "text"]):
+            ids, n = with_end(*tokens.flat(batch.column("text")), end_id)
+            pieces = -(-n // capacity)
+            rows = np.repeat(np.arange(len(n)), pieces)
+            nth = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = nth * capacity
+            length = np.minimum(n[rows] - start, capacity)
+            wide, at = ids.astype("<u4"), (np.cumsum(n) - n)[rows] + start
+            crc = [zlib.crc32(wide[i : i + k]) for i, k in zip(at.tolist(), length.tolist(), strict=True)]
+            rank = np.zeros(len(rows), np.int64)
+            for i, k in enumerate(length.tolist()):
+                rank[i] = seen[k]
+                seen[k] += 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(rows)), pa.array(nth.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(crc, pa.int64()), pa.array(np.full(len(rows), part, np.int32)), pa.array(rank)],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
+            )
 
     return run
 

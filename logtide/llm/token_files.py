@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 MAGIC = b"LTK1"
 CHUNK = 1 << 20
@@ -91,32 +91,28 @@ def _emit_chunks(path: str, gap: str, end_id: int):
         part, chunk, before = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         counts: list[int] = []
-        held: list[bytes] = []
-        size = 0
-        end = int(end_id).to_bytes(2, "little")
+        held: list[np.ndarray] = []
 
         def flush():
-            nonlocal docs, counts, held, size, chunk, before
-            ids = np.frombuffer(b"".join(held), "<u2")
+            nonlocal docs, counts, held, chunk, before
+            ids = np.concatenate(held)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([before], pa.int64()), pa.array([len(docs)], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([pack_ids(docs, counts, ids)], pa.binary())],
                 ["part", "chunk", "before", "n_docs", "n_tokens", "payload"],
             )
             before += len(ids)
             chunk += 1
-            docs, counts, held, size = [], [], [], 0
+            docs, counts, held = [], [], []
             return out
 
-        encode = encoder(path, gap).ids
-        for batch in C.batches(it, ["doc_id", "text"], 1 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                docs.append(doc)
-                held.append(ids + end)
-                counts.append(len(ids) // 2 + 1)
-                size += counts[-1]
-                if size >= CHUNK:
-                    yield flush()
+        tokens = encoder(path, gap)
+        for batch in C.batches(it, ["doc_id", "text"]):
+            ids, n = with_end(*tokens.flat(batch.column("text")), end_id)
+            docs += batch.column("doc_id").to_pylist()
+            counts += n.tolist()
+            held.append(ids)
+            if sum(map(len, held)) >= CHUNK:
+                yield flush()
         if docs:
             yield flush()
 

@@ -1,32 +1,48 @@
-"""Token ids of whole texts by a public tokenizer, chunk by chunk.
+"""Token ids of whole texts by a public tokenizer, word by word.
 
 Both tokenizers used here cut a text into pre-tokens by a pattern before they
 merge, and no pre-token of theirs crosses certain gaps. A text is cut at those
-gaps; the ids of a chunk depend on nothing else, so each distinct chunk is
-encoded once and remembered (a bounded number of them), and a text's ids are
-its chunks' ids joined. Tests compare with encoding whole texts.
+gaps into words; the ids of a word depend on nothing but itself and the gap
+before it, so each distinct one is encoded once. Known words are held as sorted
+64-bit hashes that point into one pool of ids, so a batch is looked up, and its
+ids gathered, by array operations. A text with unusual white space is encoded
+as a whole. Tests compare with encoding whole texts.
 """
 
 from __future__ import annotations
 
+import os
 from array import array
 
-#: Chunks that a worker remembers, and the longest one worth it.
-MEMORY = 400_000
-LONGEST = 64
+import numpy as np
 
+from . import common as C
 
-class ChunkEncoder:
-    """``ids(texts)``: each text's ids as little-endian unsigned 16-bit bytes.
+#: Words that a worker remembers (about 30 bytes each).
+MEMORY = 1_200_000
 
-    ``gap``: "space" cuts before a single space between two other characters
-    (byte-level BPE, whose pre-tokens take a space along with what follows);
-    "white" cuts at ASCII white space (tokenizers that drop white space).
+_HEAD, _SPACE, _LINE = (np.uint64(0), np.uint64(0x51ED270B9F1C2A35), np.uint64(0xA24BAED4963EE407))
+
+
+def _odd_bytes(data: np.ndarray) -> np.ndarray:
+    """Places of characters that Unicode or Python hold for white space, besides the space and the line feed."""
+    low = (data < 32) & (data != 10)
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    at = np.concatenate([data, np.zeros(2, np.uint8)])
+    a, b, c = at[lead], at[lead + 1], at[lead + 2]
+    wide = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    wide |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8B) | ((c >= 0xA8) & (c <= 0xAF))) | (b == 0x81) & (c == 0x9F))
+    return np.concatenate([np.flatnonzero(low), lead[wide]])
+
+
+class WordEncoder:
+    """Encodes batches of texts.
+
+    ``gap``: "space" for byte-level BPE, whose pre-tokens take a space along
+    with what follows; "white" for tokenizers that drop white space.
     """
 
     def __init__(self, path: str, gap: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,53 +50,112 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.cut = {"space": self._cut_space, "white": lambda text: text.encode().split()}[gap]
-        self.known: dict = {}
-
-    @staticmethod
-    def _cut_space(text: str) -> list[str]:
-        """Chunks of the text; each but the first lacks the space it begins with, unless it begins with a line feed."""
-        parts = text.replace("\n", " \n").split(" ")
-        if text.split() == text.replace("\n", " ").split(" "):  # all white space is single, plain and inside
-            return parts
-        out: list[str] = []
-        for p in text.split(" "):
-            if out and not (p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace()):
-                out[-1] += " " + p
-            else:
-                out.append(p)
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.spaced = {"space": True, "white": False}[gap]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.begins = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+        self.used = np.zeros(0, bool)
+        self.pool = np.zeros(1 << 16, np.uint16)
+        self.filled = 0
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian 16-bit bytes, by the library alone."""
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        spaced = self.cut == self._cut_space
-        cut = [self.cut(t) for t in texts]
-        if spaced:
-            # a first chunk has no space before it, and so is not what the same chunk is elsewhere
-            heads = self._encode([c[0] for c in cut])
-            cut = [c[1:] for c in cut]
-        known = self.known
-        new = list(set().union(*cut) - known.keys())
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = list(set().union(*cut))
-        own = dict(zip(new, self._encode([c if c[0] == "\n" else " " + c for c in new] if spaced else [c.decode() for c in new]), strict=True))
-        long = {c: i for c, i in own.items() if len(c) > LONGEST}
-        for c in long:
-            del own[c]
-        known.update(own)
-        get = (known | long).__getitem__ if long else known.__getitem__
-        bodies = [b"".join(map(get, c)) for c in cut]
-        return [h + b for h, b in zip(heads, bodies, strict=True)] if spaced else bodies
-
-
-_encoders: dict[tuple[str, str], ChunkEncoder] = {}
-
-
-def encoder(path: str, gap: str) -> ChunkEncoder:
+    def _forget(self) -> None:
+        """Keep the words used since the last time."""
+        keep = np.flatnonzero(self.used)
+        if 2 * len(keep) > MEMORY:
+            keep = keep[:0]
+        n = self.lengths[keep]
+        take = np.repeat(self.begins[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pool = self.pool[take]
+        self.hashes, self.lengths, self.begins, self.used = self.hashes[keep], n, np.cumsum(n) - n, np.zeros(len(keep), bool)
+        self.pool, self.filled = np.concatenate([pool, np.zeros(1 << 16, np.uint16)]), len(pool)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids = self.encode(words)
+        n = np.array([len(i) // 2 for i in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), np.uint16)
+        while self.filled + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint16)])
+        self.pool[self.filled : self.filled + len(flat)] = flat
+        at = np.searchsorted(self.hashes, hashes)
+        self.begins = np.insert(self.begins, at, self.filled + np.cumsum(n) - n)
+        self.lengths = np.insert(self.lengths, at, n)
+        self.used = np.insert(self.used, at, True)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.filled += len(flat)
+
+    def flat(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, one after the other, and the number of ids of each text; null is empty."""
+        data, offsets = C.text_buffer(column)
+        starts, ends, first = C.word_bounds(data, offsets)
+        n_texts = len(offsets) - 1
+        rows = np.repeat(np.arange(n_texts), np.diff(first))
+        slow = np.zeros(n_texts, bool)
+        hashes = C.word_hashes(data, starts, ends)
+        if self.spaced:
+            head = np.zeros(len(starts), bool)
+            head[first[:-1][np.diff(first) > 0]] = True
+            before = np.where(head, 32, data[np.maximum(starts - 1, 0)])
+            hashes = np.where(head, hashes, np.where(before == 10, C.mix(hashes ^ _LINE), C.mix(hashes ^ _SPACE)))
+            # words must fill a text but for single gaps
+            gap = np.ones(len(starts), np.int64)
+            gap[1:] = starts[1:] - ends[:-1]
+            odd = np.where(head, starts != offsets[:-1][rows], gap != 1)
+            slow[rows[odd]] = True
+            last = first[1:][np.diff(first) > 0] - 1
+            slow[rows[last]] |= ends[last] != offsets[1:][rows[last]]
+            slow[(np.diff(first) == 0) & (np.diff(offsets) > 0)] = True
+            slow[np.searchsorted(offsets, _odd_bytes(data), "right") - 1] = True
+            if slow.any():
+                fast = ~slow[rows]
+                rows, starts, ends, hashes, head, before = rows[fast], starts[fast], ends[fast], hashes[fast], head[fast], before[fast]
+        distinct, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > MEMORY:
+            self._forget()
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != distinct[inside]
+        if new.any():
+            pick = sample[new]
+            raw = data.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
+            if self.spaced:
+                words = [w if h else ("\n" if p == 10 else " ") + w for w, h, p in zip(words, head[pick].tolist(), before[pick].tolist(), strict=True)]
+            self._learn(distinct[new], words)
+            at = np.searchsorted(self.hashes, distinct)
+        self.used[at] = True
+        begin, n = self.begins[at][inverse], self.lengths[at][inverse]
+        upto = np.cumsum(n)
+        ids = self.pool[np.repeat(begin - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        counts = np.bincount(rows, n, n_texts).astype(np.int64)
+        if slow.any():
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            where = np.flatnonzero(slow).tolist()
+            texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in where]
+            for i, own in zip(where, self.encode(texts), strict=True):
+                parts[i] = np.frombuffer(own, np.uint16)
+                counts[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, counts
+
+
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end_id`` after each text."""
+    return np.insert(ids, np.cumsum(counts), end_id), counts + 1
+
+
+_encoders: dict[tuple[str, str], WordEncoder] = {}
+
+
+def encoder(path: str, gap: str) -> WordEncoder:
     """This worker's encoder; kept between tasks."""
     if (path, gap) not in _encoders:
-        _encoders[path, gap] = ChunkEncoder(path, gap)
+        _encoders[path, gap] = WordEncoder(path, gap)
     return _encoders[path, gap]

@@ -157,7 +157,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return Rolling(_BYTE[data]).of(starts, ends)
 
 
-def batches(it, names: list[str], target: int = 4 << 20):
+def batches(it, names: list[str], target: int = 1 << 20):
     """Record batches cut so that the text of one stays near ``target`` bytes."""
     for batch in it:
         size = batch.nbytes

@@ -19,7 +19,7 @@ import numpy as np
 from . import common as C
 
 #: Words that a worker remembers (about 30 bytes each).
-MEMORY = 1_200_000
+MEMORY = 900_000
 
 _HEAD, _SPACE, _LINE = (np.uint64(0), np.uint64(0x51ED270B9F1C2A35), np.uint64(0xA24BAED4963EE407))
 

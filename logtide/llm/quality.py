@@ -32,39 +32,69 @@ PRIOR = 0.7
 #: A document is rejected where the scorer's probability of good is below this.
 LEAST = 0.5
 
-#: name, believed accuracy, SQL vote over the measured columns: 1 good, -1 bad, 0 none.
-LABELLERS = (
-    ("symbols", 0.95, "case when symbols > 0.02 * chars then -1 else 0 end"),
-    ("letters", 0.95, "case when letters < 0.6 * chars then -1 else 0 end"),
-    ("bars", 0.95, "case when bars > 0.05 * words then -1 else 0 end"),
-    ("capitals", 0.95, "case when capitals > 0.3 * letters then -1 else 0 end"),
-    ("shouting", 0.95, "case when shouts > 0.05 * words then -1 else 0 end"),
-    ("repeats", 0.95, "case when repeats > 0 then -1 else 0 end"),
-    ("doubles", 0.95, "case when doubles > 0.05 * words and words > 8 then -1 else 0 end"),
-    ("variety", 0.95, "case when kinds < 0.4 * words and words > 8 then -1 else 0 end"),
-    ("sentences", 0.75, "case when stops = 0 and words > 20 then -1 when stops between 0.01 * words and 0.3 * words then 1 else 0 end"),
-)
-
-
-def votes(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` with one column ``vote_<name>`` for each labeller. Null texts count as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    measured = docs.select(
-        "*",
-        F.length(text).alias("chars"),
-        count(r"[#$%&*^~|<>{}\[\]\\]").alias("symbols"),
-        count(r"\p{Lu}").alias("capitals"),
-        count(r"\p{L}").alias("letters"),
-        count(r" \| ").alias("bars"),
-        count(r"!!").alias("shouts"),
-        count(r"[^\x20\x09-\x0D]+").alias("words"),
-        count(r"\b(\p{L}+)(?: \1){4,}\b").alias("repeats"),
-        count(r"\b(\p{L}+) \1\b").alias("doubles"),
-        F.size(F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+"))).alias("kinds"),
-        count(r"[.?!](?=\s|$)").alias("stops"),
-    )
-    return measured.select(*docs.columns, *(F.expr(sql).cast("int").alias(f"vote_{name}") for name, _, sql in LABELLERS))
+#: Labellers and how accurate each is believed to be.
+LABELLERS = (("symbols", 0.95), ("letters", 0.95), ("bars", 0.95), ("capitals", 0.95), ("shouting", 0.95), ("repeats", 0.95), ("doubles", 0.95), ("variety", 0.95), ("sentences", 0.75))
+
+_SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*^~|<>{}[]\\", np.uint8))
+_STOP = np.isin(np.arange(256), np.frombuffer(b".?!", np.uint8))
+_ALPHA = np.array([chr(b).isalpha() for b in range(128)] + [b >= 0xC0 for b in range(128, 256)])
+_BIG = np.array([chr(b).isupper() for b in range(128)] + [False] * 128)
+_WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
+def votes(column: pa.Array) -> np.ndarray:
+    """Votes (rows: texts, columns: LABELLERS): 1 good, -1 bad, 0 none.
+
+    Letters beyond ASCII count by their first byte; of capitals, ASCII and
+    Latin-1 are known. Null texts are empty and get no vote.
+    """
+    data, offsets = C.text_buffer(column)
+    starts, ends, first = C.word_bounds(data, offsets)
+    n_texts = len(offsets) - 1
+
+    def count(flags: np.ndarray, bounds: np.ndarray = offsets) -> np.ndarray:
+        sums = np.zeros(len(flags) + 1, np.int64)
+        np.cumsum(flags, out=sums[1:])
+        return sums[bounds[1:]] - sums[bounds[:-1]]
+
+    after = np.append(data[1:], np.uint8(32))
+    ends_text = np.zeros(len(data), bool)
+    ends_text[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    chars, letters = count((data & 0xC0) != 0x80), count(_ALPHA[data])
+    capitals = count(_BIG[data] | (data == 0xC3) & (after >= 0x80) & (after <= 0x9E))
+    symbols, shouts, stops = count(_SYMBOL[data]), count((data == 33) & (after == 33) & ~ends_text), count(_STOP[data] & (_WHITE[after] | ends_text))
+    words, hashes = np.diff(first), C.word_hashes(data, starts, ends)
+    rows = np.repeat(np.arange(n_texts), words)
+    bars = count((ends - starts == 1) & (data[np.minimum(starts, max(len(data) - 1, 0))] == 124), first) if len(starts) else np.zeros(n_texts, np.int64)
+    twin = np.zeros(len(hashes), bool)
+    twin[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
+    run = twin.copy()  # the fifth or a later one of a row of equal words
+    for k in range(1, 4):
+        run[k:] &= twin[:-k]
+        run[:k] = False
+    order = np.lexsort((hashes, rows))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (rows[order][1:] != rows[order][:-1])
+    kinds = np.bincount(rows[order][new], minlength=n_texts)
+    bad = {
+        "symbols": symbols > 0.02 * chars,
+        "letters": letters < 0.6 * chars,
+        "bars": bars > 0.05 * words,
+        "capitals": capitals > 0.3 * letters,
+        "shouting": shouts > 0.05 * words,
+        "repeats": count(run, first) > 0,
+        "doubles": (count(twin, first) > 0.05 * words) & (words > 8),
+        "variety": (kinds < 0.4 * words) & (words > 8),
+        "sentences": (stops == 0) & (words > 20),
+    }
+    good = {"sentences": (stops >= 0.01 * words) & (stops <= 0.3 * words) & (words > 0)}
+    none = np.zeros(n_texts, bool)
+    return np.stack([np.where(bad[name], -1, np.where(good.get(name, none), 1, 0)) for name, _ in LABELLERS], 1) if n_texts else np.zeros((0, len(LABELLERS)), np.int64)
+
+
+def _code(cast: np.ndarray) -> np.ndarray:
+    """A vote pattern as one number."""
+    return (cast + 1) @ 3 ** np.arange(len(LABELLERS))
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 200, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +141,14 @@ def _scores(weights: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndar
     return bias + (sums[offsets[1:]] - sums[offsets[:-1]]) / (np.diff(offsets) + SMOOTH) + weights[1][_vote_features(votes)].sum(1)
 
 
-def fit_scorer(texts: list[str | None], votes: np.ndarray, good: np.ndarray, rounds: int = 400, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_scorer(texts: pa.Array, votes: np.ndarray, good: np.ndarray, rounds: int = 400, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on mean hashed byte pairs and on hashed votes, to soft labels; (weights of both, bias).
 
     Gradient descent with per-feature steps over the whole sample; features are scaled by their spread.
     """
     found = []
-    for row, text in enumerate(texts):
-        index = _pairs(*C.text_buffer(pa.array([text], pa.string())))
+    for row in range(len(texts)):
+        index = _pairs(*C.text_buffer(texts.slice(row, 1)))
         col, n = np.unique(index, return_counts=True)
         found.append((np.full(len(col), row), col, n / (len(index) + SMOOTH)))
         col = np.unique(_vote_features(votes[row : row + 1])[0])
@@ -148,38 +178,37 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """All columns of ``docs``, ``quality_weak`` (posterior of the votes), ``quality_score`` (the scorer's probability of good) and ``quality_good``.
 
     A null or empty text is no document worth keeping: its scores are 0. Equal
-    texts have equal scores. An empty table gives no rows. With fewer than two
-    vote patterns there is nothing to tell apart, and every text is good.
+    texts have equal scores. An empty table gives no rows.
     """
     spark = docs.sparkSession
     C.session_batches(spark)
-    names = [f"vote_{n}" for n, _, _ in LABELLERS]
     own = C.own(docs, doc_id=id_col, text=text_col)
-    patterns = votes(own.select("text")).groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()  # 3 ** 8 rows at most
-    table = np.array([[r[n] for n in names] for r in patterns], int).reshape(-1, len(names))
-    counts = np.array([r.n for r in patterns], float)
-    schema = "quality_weak double, quality_score double"
-    if len(table) < 2:
-        some = (F.length(F.col(f"`{text_col}`")) > 0).cast("double")
-        return docs.withColumns({"quality_weak": F.coalesce(some, F.lit(0.0)), "quality_score": F.coalesce(some, F.lit(0.0)), "quality_good": F.coalesce(some, F.lit(0.0)) > 0})
-    _, posterior = fit_labellers(table, counts, np.array([a for _, a, _ in LABELLERS]))
-    known = {tuple(p): float(g) for p, g in zip(table.tolist(), posterior.tolist(), strict=True)}
+
+    @F.arrow_udf("int")
+    def pattern(text: pa.Array) -> pa.Array:
+        return pa.array(_code(votes(text)).astype(np.int32))
+
+    patterns = own.select(pattern("text").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3 ** 9 rows at most
+    codes = np.array([r.pattern for r in patterns], np.int64)
+    table = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
+    _, posterior = fit_labellers(table, np.array([r.n for r in patterns], float), np.array([a for _, a in LABELLERS]))
+    known = np.full(3 ** len(LABELLERS), 0.5)
+    known[codes] = posterior
     # the sample: least hashes of the text among all documents; a text counts once
-    chosen = own.where("length(text) > 0").select(F.xxhash64("text").alias("h"), "text").where(F.length("text") <= SAMPLE_LENGTH).dropDuplicates(["h"]).orderBy("h").limit(sample)
-    drawn = votes(chosen.select("text")).collect()
-    texts = [r.text for r in drawn]
-    cast = [tuple(r[n] for n in names) for r in drawn]
-    weights, bias = fit_scorer(texts, np.array(cast).reshape(-1, len(names)), np.array([known[c] for c in cast]))
-
-    @F.arrow_udf(f"struct<{schema.replace(' double', ': double')}>")
-    def judge(text: pa.Array, *vote: pa.Array) -> pa.Array:
+    drawable = own.where(F.length("text").between(1, SAMPLE_LENGTH)).select(F.xxhash64("text").alias("h"), "text")
+    least = drawable.select("h").distinct().orderBy("h").limit(sample)  # at most ``sample`` numbers
+    found = drawable.join(F.broadcast(least), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
+    drawn = pa.array([r.text for r in found], pa.string())
+    cast = votes(drawn)
+    weights, bias = fit_scorer(drawn, cast, known[_code(cast)]) if len(drawn) else (np.zeros((2, FEATURES)), 0.0)
+
+    @F.arrow_udf("struct<quality_weak: double, quality_score: double>")
+    def judge(text: pa.Array) -> pa.Array:
         data, offsets = C.text_buffer(text)
-        cast = np.stack([x.to_numpy(zero_copy_only=False) for x in vote], 1)
+        cast = votes(text)
+        full = np.diff(offsets) > 0
         score = 1 / (1 + np.exp(-np.clip(_scores(weights, bias, data, offsets, cast), -30, 30)))
-        score[np.diff(offsets) == 0] = 0.0
-        weak = [known.get(v, 0.5) if n else 0.0 for v, n in zip(map(tuple, cast.tolist()), np.diff(offsets).tolist(), strict=True)]
-        return pa.StructArray.from_arrays([pa.array(weak, pa.float64()), pa.array(score)], ["quality_weak", "quality_score"])
+        return pa.StructArray.from_arrays([pa.array(np.where(full, known[_code(cast)], 0.0)), pa.array(np.where(full, score, 0.0))], ["quality_weak", "quality_score"])
 
-    renamed = docs.withColumn("text", F.col(f"`{text_col}`")) if text_col != "text" else docs
-    voted = votes(renamed).withColumn("quality", judge(F.col("text"), *names))
+    voted = docs.withColumn("quality", judge(F.col(f"`{text_col}`")))
     return voted.select(*docs.columns, "quality.*").withColumn("quality_good", F.col("quality_score") >= LEAST)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans.queries import QUERIES
+from .plans.sql import ORACLE
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

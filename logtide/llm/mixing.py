@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Sources up to which their table is broadcast (a hundred bytes each).
+BROADCAST_SOURCES = 50_000
 _CHANCE_DIGITS = 13  # hexadecimal digits of the hash that make the uniform number (52 bits)
 
 
@@ -53,10 +55,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
     """
     rows = docs.withColumn("mix_size", word_count(F.col(f"`{text_col}`")))
     by_source = rows.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.sum("mix_size").alias("source_size"))
+    by_source = C.materialize(by_source, "sources")  # a row a source; read for its size, its targets and the join
+    few = by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     targets = source_targets(by_source, weights, most).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))), 1, _CHANCE_DIGITS), 16, 10).cast("double") / F.lit(float(16**_CHANCE_DIGITS))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    joined = rows.join(targets, F.col(f"`{source_col}`").eqNullSafe(F.col("mix_source"))).drop("mix_source")
+    # few sources go to every executor; more are joined by shuffle, where Spark splits a hot source
+    joined = rows.join(F.broadcast(targets) if few else targets, F.col(f"`{source_col}`").eqNullSafe(F.col("mix_source"))).drop("mix_source")
     copies = F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")
     return joined.withColumn("mix_copies", copies)
 

@@ -26,10 +26,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that repeat that id, one stays: the first by text.
     """
-    groups = simhash.simhash_components(docs).where("is_first").select(F.col("doc_id").alias("first_id"), "fp", "component_id").distinct()
-    own = docs.join(groups.groupBy("first_id").agg(F.count("*").alias("groups")), docs["doc_id"].eqNullSafe(F.col("first_id"))).drop("first_id", "groups")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    return own.withColumn("copy_nth", nth).where("copy_nth = 1").select(*docs.columns)
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    firsts = simhash.simhash_components(docs).where("is_first").select(key.alias("first_key")).distinct()
+    nth = F.row_number().over(Window.partitionBy("copy_key").orderBy("text", "source", "lang"))
+    own = docs.withColumn("copy_key", key).withColumn("copy_nth", nth).where("copy_nth = 1")
+    return own.join(firsts, F.col("copy_key") == F.col("first_key"), "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -401,3 +401,72 @@ def population_summary(spark, d):
     """Positives and rate overall and by split, in one pass."""
     x = M.block_split(logs(spark, d)).rollup("split").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"))
     return rounded(x.select(F.coalesce("split", F.lit("all")).alias("split"), "rows", "positives", (F.col("positives") / F.col("rows")).alias("rate")))
+
+
+# Beyond SQL: stateful or iterative operators, checked in the tests.
+
+
+@query
+def drain_per_block(spark, d):
+    """Templates mined in each block by a miner of its own."""
+    from ..operators import parsing
+
+    return parsing.mine(logs(spark, d), "block_id").drop("group_id")
+
+
+@query
+def pot_event_refine(spark, d):
+    from ..operators import pot
+
+    m = members(spark, d)
+    found = pot.refine(m, "novelty_score", pot.global_pot(m, "novelty_score", 0.3))
+    return found.withColumn("candidate_event_ids", F.array_join(F.transform("candidate_event_ids", lambda e: e.cast("string")), ","))
+
+
+@query
+def pot_per_window(spark, d):
+    from ..operators import pot
+
+    return rounded(pot.per_window_pot(members(spark, d), "rarity_score"))
+
+
+_MODEL = ["novelty_score", "rarity_score", "event_burst", "template_burst_score", "template_count_deviation_score", "local_sequence_context_score"]
+
+
+def _model_rows(spark, d):
+    c = event_table(spark, d)
+    return M.block_split(c).select("event_id", "label", "split", *_MODEL)
+
+
+@query
+def logistic_scores(spark, d):
+    from ..operators import models
+
+    x = _model_rows(spark, d)
+    return rounded(models.logistic_scores(x.where("split <> 'test'"), x, _MODEL).select("event_id", "score"))
+
+
+@query
+def pca_spe_scores(spark, d):
+    from ..operators import models
+
+    x = _model_rows(spark, d)
+    return rounded(models.pca_scores(x.where("label = 0"), x, _MODEL, 3).select("event_id", "score"))
+
+
+@query
+def isolation_forest(spark, d):
+    from ..operators import models
+
+    x = _model_rows(spark, d)
+    return rounded(models.isolation_forest_scores(x.where("label = 0"), x, _MODEL).select("event_id", "score"))
+
+
+@query
+def review_packets(spark, d):
+    """Packets of the top events, reviewed by the offline stand-in, as flat rows."""
+    from ..operators import packets as P
+
+    top = K.top_events(event_table(spark, d), "burst", 50)
+    done = P.review(P.render(P.event_packets(top, "events", "burst"), "Review:\n{{PACKET_JSON}}"), P.offline_reviewer)
+    return done.select("packet_id", "request_sha256", "valid_json", "review_decision", "recommended_action", "confidence")

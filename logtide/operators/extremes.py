@@ -30,7 +30,7 @@ def l_moments(values: DataFrame) -> DataFrame:
     squares = F.expr("m * c * c + 2 * c * (m * (m - 1) / 2) + (m - 1) * m * (2 * m - 1) / 6")
     sums = ranked.groupBy("statistic").agg(F.sum("m").alias("n"), F.sum(F.col("value") * F.col("m")).alias("s0"), F.sum(F.col("value") * first).alias("s1"), F.sum(F.col("value") * (squares - first)).alias("s2"))
     b = sums.where("n >= 3").selectExpr("statistic", "n", "s0 / n as b0", "s1 / (n * (n - 1)) as b1", "s2 / (n * (n - 1) * (n - 2)) as b2")
-    return b.selectExpr("statistic", "cast(n as bigint) as n", "b0 as l1", "2 * b1 - b0 as l2", "(6 * b2 - 6 * b1 + b0) / (2 * b1 - b0) as t3")
+    return b.selectExpr("statistic", "cast(n as bigint) as n", "b0 as l1", "2 * b1 - b0 as l2", "try_divide(6 * b2 - 6 * b1 + b0, nullif(2 * b1 - b0, 0)) as t3")
 
 
 def gev_thresholds(values: DataFrame, alpha: float = 0.9) -> DataFrame:
@@ -45,9 +45,9 @@ def gev_thresholds(values: DataFrame, alpha: float = 0.9) -> DataFrame:
 
 
 def gev_scores(features: DataFrame, names: tuple[str, ...] = ENSEMBLE, alpha: float = 0.9) -> DataFrame:
-    """``window_id, statistic, value, threshold, is_suspicious`` (strictly above)."""
+    """``window_id, statistic, value, threshold, is_suspicious`` (strictly above). A statistic that can't be fitted flags nothing."""
     values = long_statistics(features, names)
-    return values.join(F.broadcast(gev_thresholds(values, alpha).select("statistic", "threshold")), "statistic").withColumn("is_suspicious", F.col("value") > F.col("threshold"))
+    return values.join(F.broadcast(gev_thresholds(values, alpha).select("statistic", "threshold")), "statistic", "left").withColumn("is_suspicious", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)))
 
 
 def ensemble(scores: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ into factors: runs of word windows that a reference holds.
   reference: the earlier document has them. (The task remembers a bounded
   number of pieces; forgetting one costs a row, not a result.) Keys frequent
   in any input batch are split by window, so a block of many different
-  contexts round one common gram is spread over many tasks. At most
+  contexts round one common gram is spread over many tasks; a document's
+  regular repeats of a window stay one row. At most
   ``HOT_KEYS`` keys are split that way, so the broadcast is bounded.
 
 Windows are compared by a 48-bit hash within one 64-bit key.
@@ -44,8 +45,8 @@ HOT_IN_BATCH = 24
 MEMORY = 1 << 20
 _WIDTH = 6
 
-_PIECE = "key long, doc_id long, at long, n int, windows binary"
-_FACTOR = "doc_id long, at long, n int"
+_PIECE = "key long, doc_id long, at long, n int, step int, windows binary"
+_FACTOR = "doc_id long, at long, n int, step int"
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -92,6 +93,29 @@ def _binary(windows: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((offsets * _WIDTH).astype(np.int32)), pa.py_buffer(raw)])
 
 
+def _progressions(key, doc, at, window, count, length: int):
+    """Join a document's repeats of one window where they recur at equal distances of at most ``length``.
+
+    A text that repeats a few words over and over has the same few windows all
+    along; each of them becomes one row. Returns key, doc, at, window, windows
+    held, repeats and distance.
+    """
+    order = np.lexsort((at, key, doc))
+    key, doc, at, window, count = key[order], doc[order], at[order], window[order], count[order]
+    n = len(key)
+    gap = np.zeros(n, np.int64)
+    alone = count > 1
+    joined = np.zeros(n, bool)
+    joined[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] >> 32 == at[:-1] >> 32) & ~alone[1:] & ~alone[:-1] & (at[1:] - at[:-1] > 1) & (at[1:] - at[:-1] <= length)
+    gap[1:] = at[1:] - at[:-1]
+    cut = ~joined
+    cut[1:] |= joined[1:] & joined[:-1] & (gap[1:] != gap[:-1])
+    begin = np.flatnonzero(cut)
+    size = np.diff(np.append(begin, n))
+    step = np.where(size > 1, gap[np.minimum(begin + 1, n - 1)], 1)
+    return key[begin], doc[begin], at[begin], window[begin], count[begin], np.where(size > 1, size, count[begin]), step
+
+
 def _emit_pieces(length: int, hot: np.ndarray):
     def run(it):
         seen: dict[int, int] = {}
@@ -124,6 +148,7 @@ def _emit_pieces(length: int, hot: np.ndarray):
                 if not len(part):
                     continue
                 k, d, a, c, w = keys[part], docs[part], at[part], n[part], lo[part]
+                times, step = c, np.ones(len(part), np.int64)
                 if is_hot:
                     # a row a run of equal windows, each with a key of its own
                     piece = np.repeat(np.arange(len(c)), c)
@@ -133,11 +158,12 @@ def _emit_pieces(length: int, hot: np.ndarray):
                     c = np.diff(np.append(begin, len(piece)))
                     inside, piece = inside[begin], piece[begin]
                     k, d, a, w = C.mix(k[piece] ^ value[begin]), d[piece], a[piece] + inside, w[piece] + inside
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d), pa.array(a), pa.array(c.astype(np.int32)), _binary(windows, w, c)], ["key", "doc_id", "at", "n", "windows"])
+                    k, d, a, w, c, times, step = _progressions(k, d, a, w, c, length)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d), pa.array(a), pa.array(times.astype(np.int32)), pa.array(step.astype(np.int32)), _binary(windows, w, c)], ["key", "doc_id", "at", "n", "step", "windows"])
             sure = np.flatnonzero(known)
             if len(sure):
                 spread = C.mix(docs[sure].astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(docs[sure]), pa.array(at[sure]), pa.array(n[sure].astype(np.int32)), pa.nulls(len(sure), pa.binary())], ["key", "doc_id", "at", "n", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(docs[sure]), pa.array(at[sure]), pa.array(n[sure].astype(np.int32)), pa.array(np.ones(len(sure), np.int32)), pa.nulls(len(sure), pa.binary())], ["key", "doc_id", "at", "n", "step", "windows"])
 
     return run
 
@@ -168,9 +194,10 @@ def _emit_factors(it):
         docs = batch.column("doc_id").to_numpy()
         ats = batch.column("at").to_numpy()
         ns = batch.column("n").to_numpy()
+        steps = batch.column("step").to_numpy()
         blobs = batch.column("windows")
         sure = blobs.is_null().to_numpy(zero_copy_only=False)
-        out_doc, out_at, out_n = [docs[sure]], [ats[sure]], [ns[sure]]
+        out_doc, out_at, out_n, out_step = [docs[sure]], [ats[sure]], [ns[sure]], [steps[sure]]
         met = np.zeros(len(keys), bool)  # shares its key with a neighbour, as far as this batch tells
         if len(keys):
             same = keys[1:] == keys[:-1]
@@ -178,7 +205,7 @@ def _emit_factors(it):
             met[:-1] |= same
             met[-1] = True
             met[0] |= key_now is not None and keys[0] == key_now
-        docs_l, ats_l, ns_l = [], [], []
+        docs_l, ats_l, ns_l, steps_l = [], [], [], []
         for r in np.flatnonzero(met & ~sure).tolist():
             key, doc, at, n = keys[r], int(docs[r]), int(ats[r]), int(ns[r])
             blob = blobs[r].as_py()
@@ -207,12 +234,14 @@ def _emit_factors(it):
                         span += _WIDTH
                 docs_l.append(doc)
                 ats_l.append(at + i // _WIDTH)
-                ns_l.append(span // _WIDTH)
+                ns_l.append(span // _WIDTH if steps[r] == 1 else n)
+                steps_l.append(int(steps[r]))
                 i += span
         out_doc.append(np.array(docs_l, np.int64))
         out_at.append(np.array(ats_l, np.int64))
         out_n.append(np.array(ns_l, np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_doc, out_at, out_n)], ["doc_id", "at", "n"])
+        out_step.append(np.array(steps_l, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_doc, out_at, out_n, out_step)], ["doc_id", "at", "n", "step"])
 
 
 def _emit_kept(length: int):
@@ -225,8 +254,8 @@ def _emit_kept(length: int):
                 own = []
                 if factors:
                     crc = zlib.crc32(raw) - (1 << 31)
-                    for f in sorted((f["at"] & 0xFFFFFFFF, f["n"]) for f in factors if f["at"] >> 32 == crc):
-                        lo, hi = f[0], f[0] + f[1] + length - 1
+                    for f in sorted((f["at"] & 0xFFFFFFFF, (f["n"] - 1) * f["step"]) for f in factors if f["at"] >> 32 == crc):
+                        lo, hi = f[0], f[0] + f[1] + length
                         if own and lo <= own[-1]["end"]:
                             own[-1]["end"] = max(own[-1]["end"], hi)
                         else:
@@ -264,5 +293,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = np.sort(hot["key"].to_numpy(np.int64).view(np.uint64))
     pieces = rows.mapInArrow(_emit_pieces(length, keys), _PIECE)
     blocks = pieces.repartition(C.partitions(spark), "key").sortWithinPartitions("key", "doc_id", "at")
-    factors = blocks.mapInArrow(_emit_factors, _FACTOR).groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("factors"))
+    factors = blocks.mapInArrow(_emit_factors, _FACTOR).groupBy("doc_id").agg(F.collect_set(F.struct("at", "n", "step")).alias("factors"))
     return rows.join(factors, "doc_id", "left").mapInArrow(_emit_kept(length), "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start: long, end: long>>")

@@ -59,8 +59,7 @@ def _crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_substring_dedup(docs, rows, empty):
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(docs).collect())
+def _kept(rows):
     starts: dict[bytes, int] = {}
     for i, t, *_ in rows:
         w = (t or "").encode().split()
@@ -76,7 +75,30 @@ def test_substring_dedup(docs, rows, empty):
             if i is not None and starts[b" ".join(w[s : s + 50])] < i:
                 gone |= set(range(s, s + 50))
         want[(i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode())] += 1
-    assert got == want
+    return want
+
+
+def _dedup(df):
+    return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df).collect())
+
+
+def test_substring_dedup_hot_keys(spark):
+    """Many contexts round one gram, and few words over and over, so that keys are split."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    common = " ".join(word() for _ in range(30))
+    rows = []
+    for i in range(150):
+        head, tail = (" ".join(word() for _ in range(rng.randint(20, 60))) for _ in range(2))
+        middle = ("Is onhe. " * rng.randint(10, 90) if i % 3 else "Und " * rng.randint(20, 150)) + common
+        rows.append((i, f"{head} {middle} {tail}" if i % 10 else f"{rows[i - 1][1] if i else head} {common}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert len([1 for b in substring_dedup._emit_hot(50)(iter(df.toArrow().to_batches()))]) == 1
+    assert _dedup(df) == _dedup(df.repartition(4)) == _kept(rows)
+
+
+def test_substring_dedup(docs, rows, empty):
+    assert _dedup(docs) == _kept(rows)
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 

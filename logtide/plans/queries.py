@@ -403,6 +403,55 @@ def population_summary(spark, d):
     return rounded(x.select(F.coalesce("split", F.lit("all")).alias("split"), "rows", "positives", (F.col("positives") / F.col("rows")).alias("rate")))
 
 
+@query
+def topn_sweep(spark, d):
+    grid = F.broadcast(spark.createDataFrame([(k,) for k in (1, 10, 100, 500)], "n int"))
+    x = K.top_events(event_table(spark, d), "burst_novelty", 500).join(grid, F.col("rank") <= F.col("n"))
+    return rounded(x.groupBy("n").agg(F.count("*").alias("events"), F.count_if(F.col("label") == 1).alias("positives"), (F.count_if(F.col("label") == 1) / F.count("*")).alias("precision"), F.countDistinct("block_id").alias("blocks")))
+
+
+@query
+def label_free_regions(spark, d):
+    """Intervals round gap clusters of the top 200 events by score; no label takes part in their making."""
+    seeds = K.top_events(event_table(spark, d), "novelty", 200)
+    return rounded(I.with_context(I.gap_clusters(seeds, 50), I.block_bounds(logs(spark, d)), 10, 10).drop("density"))
+
+
+_PROFILE = ("template_burst_score", "template_count_deviation_score", "novelty_score", "rarity_score")
+
+
+@query
+def score_neighbors(spark, d):
+    """The three events nearest by score profile (L1) to each of the five best; a stated query set against all rows."""
+    c = event_table(spark, d)
+    q = F.broadcast(K.top_events(c, "burst", 5).select(F.col("event_id").alias("query_id"), *(F.col(p).alias(f"q_{p}") for p in _PROFILE)))
+    distance = sum((F.abs(F.col(p) - F.col(f"q_{p}")) for p in _PROFILE), F.lit(0.0))
+    x = c.crossJoin(q).where("event_id <> query_id").select("query_id", "event_id", "event_order", F.round(distance, 6).alias("distance"))
+    return rounded(x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "event_order"))).where("rank <= 3").drop("event_order"))
+
+
+@query
+def lower_score_contrast(spark, d):
+    """For each of the five best the three events with the highest score below its own."""
+    c = event_table(spark, d)
+    q = F.broadcast(K.top_events(c, "deviation", 5).select(F.col("event_id").alias("query_id"), F.col("score").alias("q")))
+    x = c.crossJoin(q).where("template_count_deviation_score < q").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("template_count_deviation_score"), "event_order")))
+    return rounded(x.where("rank <= 3").select("query_id", "event_id", "rank", F.col("template_count_deviation_score").alias("score")), 5)
+
+
+@query
+def llm_policy_summary(spark, d):
+    """Policies over stand-in decisions that follow from ids."""
+    from ..operators import packets as P
+
+    c = event_table(spark, d)
+    r = K.top_events(c, "burst", 100).selectExpr(
+        "cast(rank as string) as packet_id", "event_id", "rank as selection_rank", "element_at(array('likely_anomaly', 'uncertain', 'likely_normal'), cast(event_id % 3 + 1 as int)) as review_decision",
+        "element_at(array('inspect_event', 'collect_more_context', 'ignore'), cast(event_id % 3 + 1 as int)) as recommended_action", "cast(event_id % 101 as double) as triage_score", "0.5D as confidence",
+    )
+    return rounded(P.policy_summary(r, c, 40))
+
+
 # Beyond SQL: stateful or iterative operators, checked in the tests.
 
 

@@ -179,6 +179,16 @@ SELECT intervals, length, covered, anomalies, round(length / events, 6) AS strea
 SELECT (SELECT count(*) FROM one) AS packets, (SELECT CAST(count_if(cache_hit) AS BIGINT) FROM one) AS cache_hits, (SELECT CAST(sum(latency_ms) AS BIGINT) FROM one) AS total_ms, (SELECT round(avg(latency_ms), 6) FROM fresh) AS mean_latency, (SELECT max(latency_ms) FROM fresh WHERE k = round_even((n - 1) * 0.95::DOUBLE, 0)) AS p95_latency"""),
     "vote_agreement": ("logs", "SELECT region_id, runs, round(s, 6) AS positive_share, s IN (0, 1) AS unanimous, s >= 0.5 AS majority_positive, round(greatest(s, 1 - s), 6) AS majority_share FROM (SELECT user_id AS region_id, count(*) AS runs, avg((value >= 60)::INT) AS s FROM events GROUP BY 1)"),
     "population_summary": ("logs bounds", "SELECT coalesce(split, 'all') AS split, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, round(sum(label) / count(*), 6) AS rate FROM (SELECT ['train', 'validation', 'test'][k % 3 + 1] AS split, label FROM logs JOIN (SELECT block_id, row_number() OVER (ORDER BY block_start) - 1 AS k FROM bounds) USING (block_id)) GROUP BY ROLLUP (split)"),
+    "topn_sweep": ("cands", f"""SELECT CAST(n AS BIGINT) AS n, count(*) AS events, CAST(count_if(label = 1) AS BIGINT) AS positives, round(count_if(label = 1) / count(*), 6) AS precision, count(DISTINCT block_id) AS blocks FROM (SELECT *, row_number() OVER (ORDER BY s DESC, {_RANK}) AS rank FROM (SELECT *, CASE WHEN max(template_burst_score) OVER () > 0 THEN template_burst_score / max(template_burst_score) OVER () ELSE 0 END + CASE WHEN max(novelty_score) OVER () > 0 THEN novelty_score / max(novelty_score) OVER () ELSE 0 END AS s FROM cands))
+  JOIN (SELECT unnest([1, 10, 100, 500]) AS n) ON rank <= n GROUP BY n"""),
+    "label_free_regions": ("cands bounds", f"""SELECT c.block_id, start_order, end_order, events, anomalies, templates, greatest(start_order - 10, block_start) AS interval_start, least(end_order + 10, block_end) AS interval_end, least(end_order + 10, block_end) - greatest(start_order - 10, block_start) + 1 AS length FROM (
+  SELECT block_id, min(event_order) AS start_order, max(event_order) AS end_order, count(*) AS events, CAST(count_if(label = 1) AS BIGINT) AS anomalies, count(DISTINCT template) AS templates FROM (SELECT *, sum(new) OVER (PARTITION BY block_id ORDER BY event_order) AS run FROM (SELECT *, CASE WHEN event_order - lag(event_order) OVER (PARTITION BY block_id ORDER BY event_order) > 50 THEN 1 ELSE 0 END AS new FROM (SELECT * FROM cands ORDER BY novelty_score DESC, {_RANK} LIMIT 200))) GROUP BY block_id, run) c JOIN bounds USING (block_id)"""),
+    "score_neighbors": ("cands", f"""SELECT query_id, event_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, event_order) AS rank FROM (SELECT q.event_id AS query_id, c.event_id, c.event_order, round(abs(c.template_burst_score - q.template_burst_score) + abs(c.template_count_deviation_score - q.template_count_deviation_score) + abs(c.novelty_score - q.novelty_score) + abs(c.rarity_score - q.rarity_score), 6) AS distance
+  FROM cands c JOIN (SELECT * FROM cands ORDER BY {_RANK} LIMIT 5) q ON c.event_id <> q.event_id) QUALIFY rank <= 3"""),
+    "lower_score_contrast": ("cands", f"SELECT query_id, event_id, rank, round(s, 5) AS score FROM (SELECT q.event_id AS query_id, c.event_id, c.template_count_deviation_score AS s, row_number() OVER (PARTITION BY q.event_id ORDER BY c.template_count_deviation_score DESC, c.event_order) AS rank FROM cands c JOIN (SELECT * FROM cands ORDER BY template_count_deviation_score DESC, {_RANK} LIMIT 5) q ON c.template_count_deviation_score < q.template_count_deviation_score) WHERE rank <= 3"),
+    "llm_policy_summary": ("cands", f""", r AS (SELECT event_id, label, event_id % 3 AS k, row_number() OVER (ORDER BY event_id % 101 DESC, rank, event_id) AS t FROM (SELECT *, row_number() OVER (ORDER BY {_RANK}) AS rank FROM cands) WHERE rank <= 100),
+p AS (SELECT 'likely_anomaly' AS policy, label FROM r WHERE k = 0 UNION ALL SELECT 'inspect_action', label FROM r WHERE k = 0 UNION ALL SELECT 'uncertain_or_anomaly', label FROM r WHERE k < 2 UNION ALL SELECT 'triage_score_top10', label FROM r WHERE t <= 10 UNION ALL SELECT 'triage_score_top50', label FROM r WHERE t <= 50)
+SELECT policy, count(*) AS selected, CAST(count_if(label = 1) AS BIGINT) AS positives, round(count_if(label = 1) / count(*), 6) AS precision, round(count_if(label = 1) / 40, 6) AS recall FROM p GROUP BY policy"""),
 }
 
 ORACLE = {name: compose(parts, final) for name, (parts, final) in _ORACLE.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logtide.llm import common as C
-from logtide.llm import mixing, packing, quality, secrets, simhash
+from logtide.llm import jaccard, mixing, packing, quality, secrets
 from logtide.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,12 +22,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group stays.
+    """The document with the smallest id of each group stays: texts whose sets of five words have a Jaccard likeness of 0.8 or more are linked.
 
     Of rows that repeat that id, one stays: the first by text.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    firsts = simhash.simhash_components(docs).where("is_first").select(key.alias("first_key")).distinct()
+    groups = jaccard.jaccard_components(docs)
+    firsts = groups.groupBy("component").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("first_key")).select("first_key").distinct()
     nth = F.row_number().over(Window.partitionBy("copy_key").orderBy("text", "source", "lang"))
     own = docs.withColumn("copy_key", key).withColumn("copy_nth", nth).where("copy_nth = 1")
     return own.join(firsts, F.col("copy_key") == F.col("first_key"), "left_semi").select(*docs.columns)

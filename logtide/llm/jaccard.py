@@ -1,0 +1,174 @@
+"""Near-copy groups by exact Jaccard similarity of word shingles.
+
+Prefix filter: with all shingles in one fixed order, two sets of likeness
+``least`` or more share one of their first ``n - ceil(least * n) + 1`` shingles.
+So each text is dealt to the cells of that prefix, what meets in a cell and is
+not ruled out by sizes and places is a candidate, and each candidate is
+verified on the whole sets. No pair is lost, whatever the order: it only puts
+shingles that a sample of texts shares last, so that cells stay small.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common as C
+from .components import connected_components
+
+SHINGLE = 5
+LEAST = 0.8
+#: Texts looked at for common shingles, and most common shingles known. Both bear on speed only.
+SAMPLE = 20_000
+COMMON = 500_000
+#: Pairs looked at once in a cell.
+_BLOCK = 1 << 20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of every text and their n + 1 offsets. Fewer words than a shingle are one; no words, none."""
+    data, offsets = C.text_buffer(texts)
+    data = _LOWER[data]
+    starts, ends, first = C.word_bounds(data, offsets)
+    words = np.diff(first)
+    rolling = C.Rolling(C.word_hashes(data, starts, ends))
+    row = np.repeat(np.arange(len(words)), words)
+    at = np.arange(len(row))
+    full = at + shingle <= first[1:][row]
+    short = (words > 0) & (words < shingle)
+    hashes = rolling.of(np.concatenate([at[full], first[:-1][short]]), np.concatenate([at[full] + shingle, first[1:][short]]))
+    rows = np.concatenate([row[full], np.flatnonzero(short)])
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    return hashes[new], np.append(0, np.cumsum(np.bincount(rows[new], minlength=len(words))))
+
+
+def _nodes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each set; 0 for the empty one."""
+    return C.Rolling(hashes).of(offsets[:-1], offsets[1:])
+
+
+def with_node(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` and ``node``, equal for texts with equal sets of shingles."""
+    C.session_batches(docs.sparkSession)
+
+    @F.arrow_udf("long")
+    def node(texts: pa.Array) -> pa.Array:
+        return pa.array(_nodes(*shingle_sets(texts, shingle)).view(np.int64))
+
+    return docs.withColumn("node", node(F.col(f"`{text_col}`")))
+
+
+def _emit_shingles(shingle: int):
+    def run(it):
+        for batch in C.batches(it, ["text"]):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column("text"), shingle)[0].view(np.int64))], ["h"])
+
+    return run
+
+
+def _emit_prefixes(shingle: int, least: float, common: np.ndarray, level: np.ndarray):
+    def run(it):
+        for batch in C.batches(it, ["text"]):
+            hashes, offsets = shingle_sets(batch.column("text"), shingle)
+            nodes, n = _nodes(hashes, offsets), np.diff(offsets)
+            once = np.zeros(len(nodes), bool)
+            once[np.unique(nodes, return_index=True)[1]] = True
+            row = np.repeat(np.arange(len(n)), n)
+            spot = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
+            rank = np.where(common[spot] == hashes, level[spot], 0) if len(common) else np.zeros(len(hashes), np.int64)
+            order = np.lexsort((hashes, rank, row))
+            place = np.arange(len(row)) - offsets[:-1][row]
+            take = (place < (n - np.ceil(least * n - 1e-9).astype(np.int64) + 1)[row]) & once[row]
+            row, place, key = row[take], place[take], hashes[order][take]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[row].view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32))], ["key", "node", "n", "place"])
+
+    return run
+
+
+def _emit_candidates(least: float):
+    """Cells come one after the other, each sorted by ``n``."""
+    held: list[np.ndarray] = []
+
+    def cells(keys, nodes, n, place):
+        cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        end = np.append(cut[1:], len(keys))
+        for lo, hi in zip(cut[end - cut > 1].tolist(), end[end - cut > 1].tolist(), strict=True):
+            w, first = np.unique(nodes[lo:hi], return_index=True)
+            if len(w) < 2:
+                continue
+            first.sort()
+            v, s, p = nodes[lo:hi][first], n[lo:hi][first].astype(np.int64), place[lo:hi][first].astype(np.int64)
+            step = max(1, _BLOCK // len(v))
+            for i in range(0, len(v), step):
+                a, b = slice(i, i + step), slice(i, None)
+                can = 1 + np.minimum((s - p - 1)[a, None], (s - p - 1)[None, b])
+                must = least / (1 + least) * (s[a, None] + s[None, b]) - 1e-6
+                x, y = np.nonzero((can >= must) & (np.arange(len(s[a]))[:, None] < np.arange(len(s[b]))[None, :]))
+                if len(x):
+                    x, y = v[a][x], v[b][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+
+    def run(it):
+        nonlocal held
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy() for c in batch.columns]
+            if held:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            last = int(np.searchsorted(now[0], now[0][-1]))  # where the last cell, perhaps not whole yet, begins
+            if last:
+                yield from cells(*(x[:last] for x in now))
+            held = [x[last:] for x in now]
+        if held:
+            yield from cells(*held)
+
+    return run
+
+
+def jaccard_links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """``u, v``: all pairs of different nodes (see ``with_node``) whose sets have a likeness of ``least`` or more."""
+    spark = docs.sparkSession
+    C.session_batches(spark)
+    texts = C.own(docs, text=text_col)
+    parts = max(1, math.ceil(texts.count() / SAMPLE))
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
+    shared = drawn.mapInArrow(_emit_shingles(shingle), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
+    common, level = shared["h"].to_numpy(np.int64).view(np.uint64), shared["c"].to_numpy(np.int64)
+    order = np.argsort(common)
+    prefixes = texts.mapInArrow(_emit_prefixes(shingle, least, common[order], level[order]), "key long, node long, n int, place int")
+    dealt = prefixes.repartition(C.partitions(spark), "key").sortWithinPartitions("key", "n")
+    pairs = C.materialize(dealt.mapInArrow(_emit_candidates(least), "u long, v long").distinct(), "candidates")
+    members = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    held = C.materialize(with_node(texts, shingle=shingle).join(members, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "members")
+
+    @F.arrow_udf("boolean")
+    def near(a: pa.Array, b: pa.Array) -> pa.Array:
+        (x, i), (y, j) = shingle_sets(a, shingle), shingle_sets(b, shingle)
+        out = []
+        for k in range(len(a)):
+            p, q = x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both >= least * (len(p) + len(q) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    sided = pairs.join(held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    return sided.where(near("a", "b")).select("u", "v")
+
+
+def jaccard_components(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """All columns of ``docs`` and ``component``, a row for each row: the group that links of ``least`` or more reach.
+
+    Null texts and texts without words are one group. An empty table gives no rows.
+    """
+    parts = connected_components(jaccard_links(docs, text_col, shingle, least)).withColumnRenamed("component", "root")
+    return with_node(docs, text_col, shingle).join(parts, "node", "left").select(*docs.columns, F.coalesce("root", "node").alias("component"))

@@ -6,7 +6,7 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import common as C
@@ -22,16 +22,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays: texts whose sets of five words have a Jaccard likeness of 0.8 or more are linked.
+    """One row of each group stays, the first by id (nulls last), then by text: texts whose sets of five words have a Jaccard likeness of 0.8 or more are linked.
 
-    Of rows that repeat that id, one stays: the first by text.
+    The row is chosen in its group, whatever ids rows of other groups have.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    groups = jaccard.jaccard_components(docs)
-    firsts = groups.groupBy("component").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("first_key")).select("first_key").distinct()
-    nth = F.row_number().over(Window.partitionBy("copy_key").orderBy("text", "source", "lang"))
-    own = docs.withColumn("copy_key", key).withColumn("copy_nth", nth).where("copy_nth = 1")
-    return own.join(firsts, F.col("copy_key") == F.col("first_key"), "left_semi").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text", *rest)
+    return jaccard.jaccard_components(docs).groupBy("component").agg(F.min(row).alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,12 @@ def test_near_copies_reach_a_likeness_of_four_fifths(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(rows)], DOCS).repartition(3)
     got = sorted(r.doc_id for r in P.drop_near_copies(spark, docs, "").collect())
     assert got == sorted(set(up)) and 40 < len(got) < len(rows)
+
+
+def test_near_copies_keep_one_row_a_group(spark):
+    """Null and repeated ids: different texts all stay, and a group loses all rows but one."""
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(20))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("d")), (1, text("e")), (7, text("e")), (7, text("f")), (None, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS).repartition(3)
+    got = P.drop_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, text("a")), (0, text("b")), (1, text("e")), (5, text("c")), (5, text("d")), (7, text("f"))]

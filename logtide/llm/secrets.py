@@ -45,11 +45,75 @@ good never ever some long great little world still hand high place hold free rea
 together next white children begin got walk example paper group always music those both mark often letter
 until mile river car feet care second book carry took science eat room friend began idea fish mountain stop
 once base hear horse cut sure watch color face wood main enough plain girl usual young ready above red list
+required require incorrect correct invalid valid wrong missing empty unknown expired stored store hidden hide
+encrypted encrypt encryption decrypt hashed hash protected protect needed need optional option random generate
+generated generator change changed reset forgot forgotten remember recover recovery create created delete deleted
+remove removed enter entered type typed show shown display check checked verify verified confirm confirmed accept
+accepted reject rejected denied deny fail failed failure success successful available unavailable enable enabled
+disable disabled active activate inactive allow allowed forbid forbidden permit grant granted revoke revoked issue
+issued lock locked unlock block blocked share shared unique simple strong weak short easy difficult hard impossible
+possible necessary important different similar same equal private public personal secure security insecure safe
+safety crypt sensitive critical special certain common general normal regular standard usual strange sample
+service server client system network computer machine device phone mobile email mail address account name username
+number letters digit digits character characters symbol symbols string value field form page website site link
+button screen window file folder directory document database table record entry list item data information content
+message notice alert error warning question answer reply request response session cookie browser internet online
+offline connect connected connection download upload update upgrade install setup configure configuration config
+setting settings control manage manager management operator administrator owner member customer employee company
+office business bank credit debit card payment money price cost value order product sale market store shop buy
+something someone somewhere anything anyone nothing nobody everything everyone everybody another whatever whoever
+being been because before after again against almost alone along already also although always among around away
+become became behind below beneath beside besides between beyond both cannot could does doing done down during
+each either else enough even every except from further given gives going gone hence here herself himself however
+indeed inside instead into itself just last later least less like likely made make makes many maybe might more
+moreover most much must myself near nearly neither never nevertheless none nor nowhere off onto only other others
+otherwise our ours ourselves outside over own perhaps quite rather really said seem seems several shall should
+since sometimes soon still such taken than their theirs them themselves then there therefore these they thing
+things think thought though through throughout thus toward towards under unless until upon very was were what when
+where whether which while whom whose why within without would yet your yours yourself please thanks thank sorry
+about above across actual actually absolute absolutely apparent apparently certainly clearly completely currently
+definitely directly easily entirely especially eventually exactly finally formerly frequently generally hardly
+immediately initially largely mainly merely mostly naturally necessarily normally obviously occasionally originally
+particularly possibly practically presumably previous previously probably properly quickly rarely recently
+regularly simply slowly specifically strictly strongly suddenly supposed supposedly temporarily temporary typically
+unfortunately usually basic central complete current default direct entire exact final following former frequent
+full future global initial internal external local long main major minor modern multiple national natural next
+open original particular past perfect permanent physical popular present primary proper quick rare recent right
+left secondary separate serious significant single small specific sufficient total traditional true false typical
+various visible whole wide able about better best worse worst bigger larger longer shorter stronger weaker older
+newer higher lower greater smaller thing person people woman man child girl boy family mother father brother
+sister parent student teacher school college university class course lesson study research science history
+language english german french spanish word words sentence phrase letter text story book chapter title author
+writer reader paper picture image photo video music song sound voice noise game play player team sport football
+world country city town village street road bridge building house room door floor wall kitchen garden park field
+forest mountain river lake ocean island beach water fire earth wind weather storm rain snow cloud light dark night
+morning evening afternoon today tomorrow yesterday week month year hour minute second moment period century
+saturday sunday tuesday wednesday thursday red green blue yellow black white brown orange purple silver golden
+animal bird cat dog horse sheep tiger lion bear wolf eagle snake rabbit mouse elephant battery staple table chair
+bottle glass knife spoon plate bread butter cheese apple banana lemon cherry chocolate coffee sugar dinner lunch
+breakfast doctor nurse hospital medicine health disease body head face hair eyes mouth hand finger foot heart brain
+blood bone skin sleep dream walk run jump stand sit talk speak listen hear see look watch feel touch smell taste
+know understand believe hope wish want like love hate fear learn teach read write count measure move carry bring
+send receive give take keep hold lose find search seek follow lead guide help support build break repair fix clean
+wash cook drink travel drive visit stay leave arrive return enter exit begin start finish stop continue end wait
+watch meet join marry divorce born live die kill fight win war peace army police law court judge crime prison
+government president minister party vote election power force energy engine motor vehicle train plane ship boat
+bicycle truck station airport ticket hotel restaurant kingdom queen prince castle church temple religion spirit
+angel devil heaven magic wizard witch hero legend myth secretly secrecy knowledge principle reason cause effect
+result purpose example instance case fact truth idea opinion view point line circle square shape size weight
+length height depth distance speed rate level degree amount quantity quality part piece section group set series
+pattern model design plan project program process method technique tool instrument object subject matter material
+metal iron steel gold wood stone plastic cotton leather based called considered contained containing copied
+described determined discussed expected explained exposed found handled included including intended kept known
+leaked limited mentioned obtained passed placed printed provided published received recorded registered replaced
+represented reserved returned revealed rotated saved selected sent signed specified stolen submitted transferred
+transmitted used using validated written authenticate authentication authorize authorized authorization identity
+identifier identify identification permission privilege policy provider verification signature certificate
 """.split()
 # The rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
+_RANK = {w: i + 1 for i, w in reversed(list(enumerate(dict.fromkeys(WORDS))))}
 _LONGEST = max(map(len, WORDS))
 _PLAIN = str.maketrans("@4301!5$7", "aaeoiisst")
 _AT = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
@@ -123,7 +187,7 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
             lo, hi = m.span(1)
             while hi > lo and text[hi - 1] in ".:!?)":
                 hi -= 1
-            if hi - lo < 6 or any(s < hi and lo < e for _, s, e in base) or text[lo:hi].isalpha():
+            if hi - lo < 6 or any(s <= lo and hi <= e for _, s, e in base):
                 continue
             if guess_cost(text[lo:hi]) >= LEAST_GUESSES:
                 found.append(("guess", lo, hi))

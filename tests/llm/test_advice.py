@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline as P
+from logtide.llm import secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -44,3 +45,14 @@ def test_near_copies_keep_one_row_a_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS).repartition(3)
     got = P.drop_near_copies(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, text("a")), (0, text("b")), (1, text("e")), (5, text("c")), (5, text("d")), (7, text("f"))]
+
+
+def test_letters_and_overlaps_are_priced():
+    found = lambda t: [(k, t[a:b]) for k, a, b in secrets.secret_spans(t)]
+    assert found("The passphrase is correcthorsebatterystaple") == [("guess", "correcthorsebatterystaple")]
+    assert found("login: kjwqzxvbnmplfrt") == [("guess", "kjwqzxvbnmplfrt")]
+    text = "password: Winter2024!x#Q9zK and more"
+    assert secrets.redact(text, secrets.secret_spans(text)) == "[secret] and more"
+    assert [k for k, _ in found("password: abcdefgh1234")] == ["assign"]
+    for word in "required incorrect stored hidden something unfortunately protected generated forgotten available administrator probably encrypted rejected Welcome transmitted".split():
+        assert not found(f"The login is {word}."), word

@@ -14,6 +14,9 @@ Everything else covers every row.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,16 +40,30 @@ LABELLERS = (("symbols", 0.95), ("letters", 0.95), ("bars", 0.95), ("capitals",
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*^~|<>{}[]\\", np.uint8))
 _STOP = np.isin(np.arange(256), np.frombuffer(b".?!", np.uint8))
-_ALPHA = np.array([chr(b).isalpha() for b in range(128)] + [b >= 0xC0 for b in range(128, 256)])
-_BIG = np.array([chr(b).isupper() for b in range(128)] + [False] * 128)
 _WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
+@cache
+def _categories() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters, and which capitals (Unicode categories L and Lu)."""
+    kinds = np.array([unicodedata.category(chr(c)) for c in range(0x110000)])
+    return np.strings.startswith(kinds, "L"), kinds == "Lu"
+
+
+def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the characters beyond ASCII begin in UTF-8 bytes, and their code points."""
+    at = np.flatnonzero(data >= 0xC0)
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+    lead, b, c, d = (padded[at + k] & (0xFF if k == 0 else 0x3F) for k in range(4))
+    two, three, four = (lead & 0x1F) << 6 | b, (lead & 0x0F) << 12 | b << 6 | c, (lead & 0x07) << 18 | b << 12 | c << 6 | d
+    return at, np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+
+
 def votes(column: pa.Array) -> np.ndarray:
     """Votes (rows: texts, columns: LABELLERS): 1 good, -1 bad, 0 none.
 
-    Letters beyond ASCII count by their first byte; of capitals, ASCII and
-    Latin-1 are known. Null texts are empty and get no vote.
+    Letters and capitals count by their Unicode category. Null texts are empty
+    and get no vote.
     """
     data, offsets = C.text_buffer(column)
     starts, ends, first = C.word_bounds(data, offsets)
@@ -60,8 +77,11 @@ def votes(column: pa.Array) -> np.ndarray:
     after = np.append(data[1:], np.uint8(32))
     ends_text = np.zeros(len(data), bool)
     ends_text[offsets[1:][np.diff(offsets) > 0] - 1] = True
-    chars, letters = count((data & 0xC0) != 0x80), count(_ALPHA[data])
-    capitals = count(_BIG[data] | (data == 0xC3) & (after >= 0x80) & (after <= 0x9E))
+    letter, capital = _categories()
+    at, points = _code_points(data)
+    is_letter, is_capital = ((flags[:256] & (np.arange(256) < 128))[data] for flags in (letter, capital))
+    is_letter[at], is_capital[at] = letter[points], capital[points]
+    chars, letters, capitals = count((data & 0xC0) != 0x80), count(is_letter), count(is_capital)
     symbols, shouts, stops = count(_SYMBOL[data]), count((data == 33) & (after == 33) & ~ends_text), count(_STOP[data] & (_WHITE[after] | ends_text))
     words, hashes = np.diff(first), C.word_hashes(data, starts, ends)
     rows = np.repeat(np.arange(n_texts), words)

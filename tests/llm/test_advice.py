@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+import unicodedata
+
+import pyarrow as pa
 
 import corpus_pipeline as P
-from logtide.llm import secrets
+from logtide.llm import quality, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,3 +59,13 @@ def test_letters_and_overlaps_are_priced():
     assert [k for k, _ in found("password: abcdefgh1234")] == ["assign"]
     for word in "required incorrect stored hidden something unfortunately protected generated forgotten available administrator probably encrypted rejected Welcome transmitted".split():
         assert not found(f"The login is {word}."), word
+
+
+def test_letters_and_capitals_by_category():
+    texts = ["─│┌┐└┘ " * 9, "😀😁😂 " * 9, "\ufffd" * 40 + " a", "。、「」！ " * 9, "ПРИВЕТ МИР ЭТО ВСЁ", "ΚΑΛΗΜΕΡΑ ΚΟΣΜΕ", "ŁÓDŹ ŚĆŻ", "Привет мир, это всё.", "漢字かな交じり文", "Plain words.", "ÄÖÜ ÀÉ", "", None, "𝐀𝐁𝐂 a", "Ⅷ ª ǅ"]
+    names = [n for n, _ in quality.LABELLERS]
+    for text, cast in zip(texts, quality.votes(pa.array(texts)), strict=True):
+        kinds = [unicodedata.category(c) for c in text or ""]
+        letters = sum(k[0] == "L" for k in kinds)
+        assert (cast[names.index("letters")] == -1) == (letters < 0.6 * len(kinds)), text
+        assert (cast[names.index("capitals")] == -1) == (kinds.count("Lu") > 0.3 * letters), text

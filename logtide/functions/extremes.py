@@ -50,25 +50,34 @@ def sample_l_moments(values) -> tuple[float, float, float]:
     return float(b0), float(l2), float((6 * b2 - 6 * b1 + b0) / l2) if l2 else 0.0
 
 
-def gpd_fit(excess) -> tuple[float, float]:
-    """(shape, scale) of a generalised Pareto law at 0 by maximum likelihood (Grimshaw's one-parameter profile), shape at least -0.5."""
-    x = np.asarray(excess, float)
-    x = x[x > 0]
-    if not len(x):
-        raise ValueError("no exceedances")
-    mean, top = x.mean(), x.max()
-    best = (-len(x) * (math.log(mean) + 1), 0.0, mean)  # exponential
-    for theta in np.concatenate([-np.linspace(1e-6, 0.999, 400) / top, np.geomspace(1e-6, 1e3, 800) / mean]):
-        xi = float(np.log1p(theta * x).mean())
+def gpd_thetas(mean: float, top: float) -> np.ndarray:
+    """The values of shape / scale at which the profile likelihood is looked at."""
+    return np.concatenate([-np.linspace(1e-6, 0.999, 400) / top, np.geomspace(1e-6, 1e3, 800) / mean])
+
+
+def gpd_profile(n: float, mean: float, thetas: np.ndarray, shapes: np.ndarray) -> tuple[float, float]:
+    """(shape, scale) of greatest likelihood; ``shapes`` are the means of log1p(theta * excess) over all ``n`` excesses."""
+    best = (-n * (math.log(mean) + 1), 0.0, mean)  # exponential
+    for theta, xi in zip(thetas.tolist(), shapes.tolist(), strict=True):
         if xi < -0.5 or xi == 0 or xi / theta <= 0:
             continue
         sigma = xi / theta
-        value = -len(x) * (math.log(sigma) + xi + 1)
+        value = -n * (math.log(sigma) + xi + 1)
         if value > best[0]:
             best = (value, xi, sigma)
     return best[1], best[2]
 
 
+def gpd_fit(excess) -> tuple[float, float]:
+    """(shape, scale) of a generalised Pareto law at 0 by maximum likelihood (Grimshaw's one-parameter profile), shape at least -0.5."""
+    x = np.asarray(excess, float)
+    x = x[x > 0]
+    if not len(x):
+        raise ValueError("no exceedances")
+    thetas = gpd_thetas(x.mean(), x.max())
+    return gpd_profile(len(x), x.mean(), thetas, np.array([np.log1p(t * x).mean() for t in thetas]))
+
+
 def pot_fit(values, quantile: float = 0.95, tail: float = 0.1) -> dict:
     """Peaks over threshold: u is the lower-index order statistic, z the ``1 - tail`` quantile of the excesses above it."""
     x = np.sort(np.asarray(values, float))

@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extremes import gpd_fit, pot_fit
+from ..functions.extremes import gpd_profile, gpd_thetas, pot_fit
 from .extremes import order_statistic
 
 
-def global_pot(members: DataFrame, score: str, quantile: float = 0.95, tail: float = 0.1, sample: int = 100_000) -> dict:
-    """One fit over all rows. u is exact; the law is fitted on the excesses, of which the least-hash ``sample`` is taken where there are more."""
+def _emit_shapes(u: float, thetas: np.ndarray):
+    """Sums of count * log1p(theta * excess) over a partition's distinct values, for every theta."""
+
+    def run(it):
+        sums = np.zeros(len(thetas))
+        for pdf in it:
+            x, m = pdf["value"].to_numpy(float) - u, pdf["m"].to_numpy(float)
+            for i in range(0, len(x), 2000):
+                sums += np.log1p(np.outer(thetas, x[i : i + 2000])) @ m[i : i + 2000]
+        yield pd.DataFrame({"k": np.arange(len(thetas)), "s": sums})
+
+    return run
+
+
+def global_pot(members: DataFrame, score: str, quantile: float = 0.95, tail: float = 0.1) -> dict:
+    """One fit over all rows. u is exact; the law is fitted on all excesses, by distinct value and count."""
     u = order_statistic(members, score, quantile).first()["u"]
-    over = members.where(F.col(score) > u).select(score, F.xxhash64("window_id", "event_id").alias("h"))
-    n = over.count()
+    over = members.select(F.col(score).cast("double").alias("value")).where(F.col("value") > u).groupBy("value").agg(F.count("*").alias("m"))
+    x = F.col("value") - F.lit(float(u or 0))
+    n, mean, top = over.agg(F.sum("m"), F.sum(x * F.col("m")) / F.sum("m"), F.max(x)).first()
     if not n:
         raise ValueError("no exceedances")
-    excess = [r[0] - u for r in over.orderBy("h").limit(sample).select(score).collect()]
-    xi, sigma = gpd_fit(excess)
-    import math
-
+    thetas = gpd_thetas(mean, top)
+    sums = over.mapInPandas(_emit_shapes(float(u), thetas), "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).orderBy("k").toPandas()["s"].to_numpy(float)
+    xi, sigma = gpd_profile(n, mean, thetas, sums / n)
     z = u + (sigma / xi * (tail**-xi - 1) if abs(xi) > 1e-9 else -sigma * math.log(tail))
     return {"threshold_u": u, "threshold_z": z, "gpd_shape": xi, "gpd_scale": sigma, "num_exceedances": n}
 

@@ -166,6 +166,12 @@ def batches(it, names: list[str], target: int = 1 << 20):
             yield batch.slice(i, step).select(names)
 
 
+def slices(column: pa.Array, target: int = 1 << 20) -> list[pa.Array]:
+    """A text column cut so that the text of one part stays near ``target`` bytes; one part at least."""
+    step = max(1, min(len(column), int(len(column) * target / max(column.nbytes, 1))))
+    return [column.slice(i, step) for i in range(0, max(len(column), 1), step)]
+
+
 def session_batches(spark: SparkSession) -> None:
     """Arrow batches bounded in rows and bytes, so that long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

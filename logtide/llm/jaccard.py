@@ -62,7 +62,7 @@ def with_node(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -
 
     @F.arrow_udf("long")
     def node(texts: pa.Array) -> pa.Array:
-        return pa.array(_nodes(*shingle_sets(texts, shingle)).view(np.int64))
+        return pa.array(np.concatenate([_nodes(*shingle_sets(part, shingle)) for part in C.slices(texts)]).view(np.int64))
 
     return docs.withColumn("node", node(F.col(f"`{text_col}`")))
 
@@ -153,10 +153,9 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGL
 
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        (x, i), (y, j) = shingle_sets(a, shingle), shingle_sets(b, shingle)
         out = []
         for k in range(len(a)):
-            p, q = x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]
+            p, q = shingle_sets(a.slice(k, 1), shingle)[0], shingle_sets(b.slice(k, 1), shingle)[0]
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(both >= least * (len(p) + len(q) - both) - 1e-9)
         return pa.array(out, pa.bool_())

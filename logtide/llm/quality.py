@@ -60,6 +60,11 @@ def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def votes(column: pa.Array) -> np.ndarray:
+    """Votes of a whole column, see ``_votes``; a part of the texts at a time, so that a worker stays small."""
+    return np.concatenate([_votes(part) for part in C.slices(column)])
+
+
+def _votes(column: pa.Array) -> np.ndarray:
     """Votes (rows: texts, columns: LABELLERS): 1 good, -1 bad, 0 none.
 
     Letters and capitals count by their Unicode category. Null texts are empty

@@ -137,7 +137,7 @@ class Rolling:
     def __init__(self, values: np.ndarray):
         n = len(values) + 1
         if len(Rolling._powers) < n:
-            size = 1 << n.bit_length()
+            size = -(-n // (1 << 18)) << 18
             for name, base in (("_powers", self.BASE), ("_inverse", pow(self.BASE, -1, 1 << 64))):
                 factors = np.full(size, base, np.uint64)
                 factors[0] = 1
@@ -152,9 +152,16 @@ class Rolling:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return Rolling(_BYTE[data]).of(starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, about ``block`` bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, base + block)))
+        out[i:j] = Rolling(_BYTE[data[base : ends[j - 1]]]).of(starts[i:j] - base, ends[i:j] - base)
+        i = j
+    return out
 
 
 def batches(it, names: list[str], target: int = 1 << 20):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .packing_lp import configurations
-from .tokens import encoder, with_end
+from .tokens import BATCH, encoder, with_end
 
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
@@ -29,7 +29,7 @@ def _emit_pieces(path: str, gap: str, end_id: int, capacity: int):
     def run(it):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         tokens = encoder(path, gap)
-        for batch in C.batches(it, ["doc_id", "text"]):
+        for batch in C.batches(it, ["doc_id", "text"], BATCH):
             ids, n = with_end(*tokens.flat(batch.column("text")), end_id)
             pieces = -(-n // capacity)
             rows = np.repeat(np.arange(len(n)), pieces)

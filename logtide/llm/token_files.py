@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import encoder, with_end
+from .tokens import BATCH, encoder, with_end
 
 MAGIC = b"LTK1"
 CHUNK = 1 << 20
@@ -106,7 +106,7 @@ def _emit_chunks(path: str, gap: str, end_id: int):
             return out
 
         tokens = encoder(path, gap)
-        for batch in C.batches(it, ["doc_id", "text"]):
+        for batch in C.batches(it, ["doc_id", "text"], BATCH):
             ids, n = with_end(*tokens.flat(batch.column("text")), end_id)
             docs += batch.column("doc_id").to_pylist()
             counts += n.tolist()

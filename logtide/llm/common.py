@@ -179,6 +179,28 @@ def slices(column: pa.Array, target: int = 1 << 20) -> list[pa.Array]:
     return [column.slice(i, step) for i in range(0, max(len(column), 1), step)]
 
 
+def cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin and end."""
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return begin, np.append(begin[1:], len(keys))
+
+
+def whole_cells(it, decide):
+    """Calls ``decide`` with the columns of whole cells; rows come sorted by their first column, the cell."""
+    held: list[list[np.ndarray]] = []
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy() for c in batch.columns]
+        last = int(np.searchsorted(now[0], now[0][-1]))  # where the last cell, perhaps not whole yet, begins
+        if last or (held and held[0][0][0] != now[0][0]):
+            yield from decide(*(np.concatenate(x) for x in zip(*held, [x[:last] for x in now], strict=True)))
+            held = []
+        held.append([x[last:] for x in now])
+    if held:
+        yield from decide(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def session_batches(spark: SparkSession) -> None:
     """Arrow batches bounded in rows and bytes, so that long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

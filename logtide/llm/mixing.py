@@ -46,27 +46,28 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """All columns of ``docs`` and ``mix_size, mix_source_size, mix_target, mix_copies``, a row for each row.
+    """``row`` (all columns of ``docs``, whatever their names) and ``mix_size, mix_source_size, mix_target, mix_copies``, a row for each row.
 
     ``mix_copies`` is how often the mix takes the document, at most
     ceil(``most``). Null texts have size 0; null is a source of its own. A
     source of size 0 has target 0 and is not taken. Rows that repeat an id
     share their chance. An empty table gives no rows.
     """
-    rows = docs.withColumn("mix_size", word_count(F.col(f"`{text_col}`")))
-    by_source = rows.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.sum("mix_size").alias("source_size"))
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("string").alias("mix_id"), F.col(f"`{source_col}`").alias("mix_own"), word_count(F.col(f"`{text_col}`")).alias("mix_size")
+    )
+    by_source = rows.groupBy(F.col("mix_own").alias("source")).agg(F.sum("mix_size").alias("source_size"))
     by_source = C.materialize(by_source, "sources")  # a row a source; read for its size, its targets and the join
     few = by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     targets = source_targets(by_source, weights, most).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))), 1, _CHANCE_DIGITS), 16, 10).cast("double") / F.lit(float(16**_CHANCE_DIGITS))
+    chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("mix_id", F.lit("null")))), 1, _CHANCE_DIGITS), 16, 10).cast("double") / F.lit(float(16**_CHANCE_DIGITS))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     # few sources go to every executor; more are joined by shuffle, where Spark splits a hot source
-    joined = rows.join(F.broadcast(targets) if few else targets, F.col(f"`{source_col}`").eqNullSafe(F.col("mix_source"))).drop("mix_source")
+    joined = rows.join(F.broadcast(targets) if few else targets, F.col("mix_own").eqNullSafe(F.col("mix_source")))
     copies = F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("mix_copies", copies)
+    return joined.select("row", "mix_size", "mix_source_size", "mix_target", copies.alias("mix_copies"))
 
 
 def mixed_copies(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row of ``mix_sources`` as often as it is taken, with its columns as they were."""
-    own = [F.col(f"`{c}`") for c in mixed.columns if not c.startswith("mix_")]
-    return mixed.where("mix_copies > 0").withColumn("mix_nth", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*own)
+    return mixed.where("mix_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_nth")).select("row.*")

@@ -33,12 +33,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 5, 2, 1 in turn; no source above 3 times its size."""
     mixed = mixing.mix_sources(C.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    return mixed.select("row.doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base patterns, and values in credential context that take 10 ** 8 guesses."""
-    found = secrets.scan_secrets(C.table(spark, sf_dir, "documents"))
+    found = secrets.scan_secrets(C.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("secrets", lambda s: s["kind"] != "guess")
@@ -79,7 +79,7 @@ def op9_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior of the votes, the scorer's probability of good and the decision for every document."""
     found = quality.classify_quality(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.round("quality_weak", 6).alias("weak_label"), F.round("quality_score", 6).alias("score"), F.col("quality_good").alias("keep"))
+    return found.select("row.doc_id", F.round("quality_weak", 6).alias("weak_label"), F.round("quality_score", 6).alias("score"), F.col("quality_good").alias("keep"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

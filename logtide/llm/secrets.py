@@ -5,13 +5,17 @@ Besides, a value that prose names as a credential ("passphrase is ...",
 "login: ...") counts as a secret if it would be hard to guess: a dynamic
 program finds its cheapest segmentation into words, dates, repeats, keyboard
 walks, runs and brute-force spans, and the guesses that this takes are held
-against ``LEAST_GUESSES``. Ordinary words cost little, whatever stands before.
+against ``LEAST_GUESSES``. Ordinary words cost little, whatever stands before:
+the dictionary is the whole words of a public tokenizer's vocabulary, whose ids
+follow their frequency.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,92 +38,31 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Decimal logarithm of the guesses from which a value in context is a secret.
 LEAST_GUESSES = 8.0
 
-# Common words of passwords and of prose round them, most common first.
-WORDS = """
-password the and that with this from have secret token admin login welcome master dragon monkey qwerty letmein
-user test root guest pass default changeme access key code shadow sunshine princess football baseball superman
-batman love hello freedom whatever trust house summer winter spring autumn monday friday january february march
-april june july august september october november december for you not are but all can her was one our out
-day get has him his how man new now old see two way who did its let put say she too use home work time year
-good never ever some long great little world still hand high place hold free real life few north open seem
-together next white children begin got walk example paper group always music those both mark often letter
-until mile river car feet care second book carry took science eat room friend began idea fish mountain stop
-once base hear horse cut sure watch color face wood main enough plain girl usual young ready above red list
-required require incorrect correct invalid valid wrong missing empty unknown expired stored store hidden hide
-encrypted encrypt encryption decrypt hashed hash protected protect needed need optional option random generate
-generated generator change changed reset forgot forgotten remember recover recovery create created delete deleted
-remove removed enter entered type typed show shown display check checked verify verified confirm confirmed accept
-accepted reject rejected denied deny fail failed failure success successful available unavailable enable enabled
-disable disabled active activate inactive allow allowed forbid forbidden permit grant granted revoke revoked issue
-issued lock locked unlock block blocked share shared unique simple strong weak short easy difficult hard impossible
-possible necessary important different similar same equal private public personal secure security insecure safe
-safety crypt sensitive critical special certain common general normal regular standard usual strange sample
-service server client system network computer machine device phone mobile email mail address account name username
-number letters digit digits character characters symbol symbols string value field form page website site link
-button screen window file folder directory document database table record entry list item data information content
-message notice alert error warning question answer reply request response session cookie browser internet online
-offline connect connected connection download upload update upgrade install setup configure configuration config
-setting settings control manage manager management operator administrator owner member customer employee company
-office business bank credit debit card payment money price cost value order product sale market store shop buy
-something someone somewhere anything anyone nothing nobody everything everyone everybody another whatever whoever
-being been because before after again against almost alone along already also although always among around away
-become became behind below beneath beside besides between beyond both cannot could does doing done down during
-each either else enough even every except from further given gives going gone hence here herself himself however
-indeed inside instead into itself just last later least less like likely made make makes many maybe might more
-moreover most much must myself near nearly neither never nevertheless none nor nowhere off onto only other others
-otherwise our ours ourselves outside over own perhaps quite rather really said seem seems several shall should
-since sometimes soon still such taken than their theirs them themselves then there therefore these they thing
-things think thought though through throughout thus toward towards under unless until upon very was were what when
-where whether which while whom whose why within without would yet your yours yourself please thanks thank sorry
-about above across actual actually absolute absolutely apparent apparently certainly clearly completely currently
-definitely directly easily entirely especially eventually exactly finally formerly frequently generally hardly
-immediately initially largely mainly merely mostly naturally necessarily normally obviously occasionally originally
-particularly possibly practically presumably previous previously probably properly quickly rarely recently
-regularly simply slowly specifically strictly strongly suddenly supposed supposedly temporarily temporary typically
-unfortunately usually basic central complete current default direct entire exact final following former frequent
-full future global initial internal external local long main major minor modern multiple national natural next
-open original particular past perfect permanent physical popular present primary proper quick rare recent right
-left secondary separate serious significant single small specific sufficient total traditional true false typical
-various visible whole wide able about better best worse worst bigger larger longer shorter stronger weaker older
-newer higher lower greater smaller thing person people woman man child girl boy family mother father brother
-sister parent student teacher school college university class course lesson study research science history
-language english german french spanish word words sentence phrase letter text story book chapter title author
-writer reader paper picture image photo video music song sound voice noise game play player team sport football
-world country city town village street road bridge building house room door floor wall kitchen garden park field
-forest mountain river lake ocean island beach water fire earth wind weather storm rain snow cloud light dark night
-morning evening afternoon today tomorrow yesterday week month year hour minute second moment period century
-saturday sunday tuesday wednesday thursday red green blue yellow black white brown orange purple silver golden
-animal bird cat dog horse sheep tiger lion bear wolf eagle snake rabbit mouse elephant battery staple table chair
-bottle glass knife spoon plate bread butter cheese apple banana lemon cherry chocolate coffee sugar dinner lunch
-breakfast doctor nurse hospital medicine health disease body head face hair eyes mouth hand finger foot heart brain
-blood bone skin sleep dream walk run jump stand sit talk speak listen hear see look watch feel touch smell taste
-know understand believe hope wish want like love hate fear learn teach read write count measure move carry bring
-send receive give take keep hold lose find search seek follow lead guide help support build break repair fix clean
-wash cook drink travel drive visit stay leave arrive return enter exit begin start finish stop continue end wait
-watch meet join marry divorce born live die kill fight win war peace army police law court judge crime prison
-government president minister party vote election power force energy engine motor vehicle train plane ship boat
-bicycle truck station airport ticket hotel restaurant kingdom queen prince castle church temple religion spirit
-angel devil heaven magic wizard witch hero legend myth secretly secrecy knowledge principle reason cause effect
-result purpose example instance case fact truth idea opinion view point line circle square shape size weight
-length height depth distance speed rate level degree amount quantity quality part piece section group set series
-pattern model design plan project program process method technique tool instrument object subject matter material
-metal iron steel gold wood stone plastic cotton leather based called considered contained containing copied
-described determined discussed expected explained exposed found handled included including intended kept known
-leaked limited mentioned obtained passed placed printed provided published received recorded registered replaced
-represented reserved returned revealed rotated saved selected sent signed specified stolen submitted transferred
-transmitted used using validated written authenticate authentication authorize authorized authorization identity
-identifier identify identification permission privilege policy provider verification signature certificate
-""".split()
 # The rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(dict.fromkeys(WORDS))))}
-_LONGEST = max(map(len, WORDS))
 _PLAIN = str.maketrans("@4301!5$7", "aaeoiisst")
 _AT = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", re.ASCII)
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+#: Dates of each precision, and log10 of how many there are.
+_DATES = (
+    (re.compile(_YEAR, re.ASCII), 2.0), (re.compile(f"{_YEAR}[-/.]?{_MONTH}", re.ASCII), math.log10(100 * 12)),
+    (re.compile(f"{_YEAR}[-/.]?{_MONTH}[-/.]?{_DAY}", re.ASCII), math.log10(100 * 365)), (re.compile(f"{_DAY}[-/.]?{_MONTH}[-/.]?{_YEAR}", re.ASCII), math.log10(100 * 365)),
+)
 #: What beginning one more segment multiplies the guesses by.
 _JOINT = math.log10(4)
+#: Shortest word, run and walk; longest stretch that a repeat repeats; longest run, walk and repeat.
+_SHORTEST, _LONGEST_UNIT, _LONGEST = 3, 16, 256
+
+
+@cache
+def dictionary(path: str) -> tuple[dict[str, int], int]:
+    """Rank of each whole word (three letters or more) of a tokenizer's vocabulary, by id, and the longest's length."""
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    whole = (t.removesuffix("</w>") for t, _ in sorted(vocabulary.items(), key=lambda x: x[1]) if t.endswith("</w>"))
+    words = dict.fromkeys(w for w in whole if len(w) >= _SHORTEST and w.isascii() and w.isalpha())
+    return {w: i + 1 for i, w in enumerate(words)}, max(map(len, words))
 
 
 def _space(value: str) -> float:
@@ -128,55 +71,89 @@ def _space(value: str) -> float:
     return math.log10(max(size, 2))
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` takes; 0 for an empty value."""
+def _word_cost(value: str, low: str, rank: dict[str, int]) -> float:
+    """Cost of a whole stretch as one word, with capitals and signs for letters; infinite for no word."""
+    best = math.inf
+    for text, extra in ((low, 0.0), (low.translate(_PLAIN), 1.0)):
+        if text in rank:
+            upper = sum(c.isupper() for c in value)
+            best = min(best, math.log10(rank[text] + 1) + extra + (math.log10(2) * min(upper, len(value) - upper + 1) if upper else 0.0))
+    return best
+
+
+def _step(kind: str, a: str, b: str) -> int | None:
+    """What two neighbours of a run or of a keyboard walk have in common with the next two; none if they are no part of one."""
+    if kind == "run":
+        return ord(b) - ord(a) if abs(ord(b) - ord(a)) == 1 else None
+    p, q = _AT.get(a), _AT.get(b)
+    return 1 if p and q and a != b and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 else None
+
+
+def _line_cost(kind: str, n: int) -> float:
+    return math.log10(26 * n) if kind == "run" else math.log10(40 * n) + n * math.log10(2) / 2
+
+
+def guess_cost(value: str, path: str, enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of ``value`` takes; 0 for an empty value.
+
+    Segments, of any place and of any length up to 256: a word of the dictionary at ``path`` (its
+    rank, and twice for each capital or small letter, whichever are fewer; ten
+    times where signs stand for letters), a date, a run (abc, 321) or keyboard
+    walk of three or more, a stretch of up to 16 characters that is repeated
+    (what it costs as a word or by brute force, times the number of repeats),
+    and brute force (of any length). Each further segment multiplies by four.
+    Where the cost is known to be ``enough`` or more, a lower bound of at least
+    that may be returned instead.
+    """
+    rank, longest = dictionary(path)
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
-    plain = low.translate(_PLAIN)
     char = _space(value)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost)
+    # where the run or walk that ends before place j began
+    lines: dict[str, list[int]] = {}
+    for kind in ("run", "walk"):
+        began, last = [0] * (n + 1), None
+        for j in range(1, n + 1):
+            step = _step(kind, low[j - 2], low[j - 1]) if j > 1 else None
+            began[j] = j - 1 if step is None else began[j - 1] if step == last else j - 2
+            last = step
+        lines[kind] = began
+    # by period: how many characters before place j equal those a period earlier
+    same = [[0] * (n + 1) for _ in range(min(_LONGEST_UNIT, n // 2) + 1)]
+    for period in range(1, len(same)):
+        for j in range(period + 1, n + 1):
+            same[period][j] = same[period][j - 1] + 1 if low[j - 1] == low[j - 1 - period] else 0
+    dates: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            for text, extra in ((low, 0.0), (plain, 1.0)):
-                if rank := _RANK.get(text[i:j]):
-                    upper = sum(c.isupper() for c in value[i:j])
-                    ends[j].append((i, math.log10(rank + 1) + extra + (math.log10(2) * min(upper, j - i - upper + 1) if upper else 0)))
-        for m in (_DATE.match(low, i),):
-            if m:
-                ends[m.end()].append((i, math.log10(100) if m.end() - i == 4 else math.log10(100 * 365)))
-    # maximal repeats of one character, runs (abc, 321) and keyboard walks
-    for step in ("repeat", "run", "walk"):
-        i = 0
-        while i < n - 2:
-            j, first = i + 1, None
-            while j < n:
-                a, b = low[j - 1], low[j]
-                if step == "repeat":
-                    move = 0 if a == b else None
-                elif step == "run":
-                    move = ord(b) - ord(a) if abs(ord(b) - ord(a)) == 1 else None
-                else:
-                    p, q = _AT.get(a), _AT.get(b)
-                    move = 1 if p and q and a != b and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 else None
-                if move is None or (first is not None and move != first):
-                    break
-                first = move if first is None else first
-                j += 1
-            if j - i >= 3:
-                cost = {"repeat": char + math.log10(j - i), "run": math.log10(26 * (j - i)), "walk": math.log10(40 * (j - i)) + (j - i) * math.log10(2) / 2}[step]
-                ends[j].append((i, cost))
-                ends[i + 3 + (j - i - 3) // 2].append((i, cost))
-            i = max(j - 1, i + 1)
+        for pattern, cost in _DATES:
+            if m := pattern.match(low, i):
+                dates[m.end()].append((i, cost))
     best = [0.0] + [math.inf] * n  # of all segmentations up to here
     brute = [math.inf] * (n + 1)  # of those that end in a brute-force span
+    before = [-_JOINT] + [math.inf] * n  # best, less the joint that the first segment doesn't have
     for j in range(1, n + 1):
-        brute[j] = min(brute[j - 1], best[j - 1] + _JOINT * (j > 1)) + char
-        best[j] = min([brute[j], *(best[i] + cost + _JOINT * (i > 0) for i, cost in ends[j])])
+        brute[j] = min(brute[j - 1], before[j - 1] + _JOINT) + char
+        found = brute[j]
+        for i in range(max(0, j - longest), j - _SHORTEST + 1):
+            found = min(found, before[i] + _JOINT + _word_cost(value[i:j], low[i:j], rank))
+        for i, cost in dates[j]:
+            found = min(found, before[i] + _JOINT + cost)
+        for kind, began in lines.items():
+            for i in range(max(began[j], j - _LONGEST), j - _SHORTEST + 1):
+                found = min(found, before[i] + _JOINT + _line_cost(kind, j - i))
+        for period in range(1, len(same)):
+            most = min(same[period][j], _LONGEST - period) // period + 1
+            if most > 1:
+                unit = min(period * char, _word_cost(value[j - period : j], low[j - period : j], rank))
+                found = min(found, _JOINT + unit + min(before[j - k * period] + math.log10(k) for k in range(2, most + 1)))
+        best[j] = before[j] = found
+        if j % _LONGEST == 0 and j < n and min(min(best[j - _LONGEST : j + 1]), brute[j]) >= enough:
+            return enough  # no segmentation can begin its next segment for less
     return best[n]
 
 
-def secret_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, by start, then as kinds are listed."""
+def secret_spans(text: str, path: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in code points, by start, then as kinds are listed; ``path``: see ``guess_cost``."""
     found = [("access", *m.span()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     raw = text.encode("utf-8", "surrogatepass").translate(_LOWER)
@@ -189,7 +166,7 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
                 hi -= 1
             if hi - lo < 6 or any(s <= lo and hi <= e for _, s, e in base):
                 continue
-            if guess_cost(text[lo:hi]) >= LEAST_GUESSES:
+            if guess_cost(text[lo:hi], path, LEAST_GUESSES) >= LEAST_GUESSES:
                 found.append(("guess", lo, hi))
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
@@ -207,28 +184,31 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[secret]")
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_secrets(text: Column) -> Column:
+def find_secrets(text: Column, path: str) -> Column:
     """``array<struct<kind, start, end>>`` of a text column, sorted; null texts have none."""
 
     @F.arrow_udf("array<struct<kind: string, start: long, end: long>>")
     def spans(texts: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in secret_spans(t)] if t else [] for t in texts.to_pylist()], _SPANS)
+        return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in secret_spans(t, path)] if t else [] for t in texts.to_pylist()], _SPANS)
 
     return spans(text)
 
 
-def redacted(text: Column, mark: str = "[secret]") -> Column:
+def redacted(text: Column, path: str, mark: str = "[secret]") -> Column:
     """The text column without its secrets; null stays null."""
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([t and redact(t, secret_spans(t), mark) for t in texts.to_pylist()], pa.string())
+        return pa.array([t and redact(t, secret_spans(t, path), mark) for t in texts.to_pylist()], pa.string())
 
     return clean(text)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, secrets``, a row for each row; a null or empty text has no secrets, an empty table no rows."""
+def scan_secrets(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, secrets``, a row for each row, whatever repeats; a null or empty text has no secrets, an empty table no rows.
+
+    ``path``: the tokenizer file that holds the dictionary, on every executor. Other columns are not looked at.
+    """
     C.session_batches(docs.sparkSession)
     rows = C.own(docs, doc_id=id_col, text=text_col)
-    return rows.select("doc_id", find_secrets(F.col("text")).alias("secrets"))
+    return rows.select("doc_id", find_secrets(F.col("text"), path).alias("secrets"))

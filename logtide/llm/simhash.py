@@ -11,6 +11,12 @@ verified over all 64 bits.
 Texts with equal fingerprints are one class throughout. A table cell hands on
 the links of a spanning forest of what it verified, never all its pairs, so a
 cell of n fingerprints makes less than n rows.
+
+``similar_rows`` groups texts by the likeness of their shingle sets. Fingerprints
+find the bulk of each group, their links are checked by exact Jaccard likeness,
+and what lies further apart than fingerprints reach is found by shared rare
+shingles (``shingles``), between different groups only. So no link is lost, and
+no group is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -18,10 +24,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import shingles as S
 from .components import Forest, connected_components
 
 BITS = 64
@@ -75,18 +82,16 @@ def _close(a: np.ndarray, b: np.ndarray):
     """Pairs (i, j) with a[i] and b[j] at most MAX_BITS apart, a block of rows at a time."""
     step = max(1, _BLOCK // max(1, len(b)))
     for i in range(0, len(a), step):
-        near = np.bitwise_count(a[i : i + step, None] ^ b[None, :]) <= MAX_BITS
-        x, y = np.nonzero(near)
+        x, y = np.nonzero(np.bitwise_count(a[i : i + step, None] ^ b[None, :]) <= MAX_BITS)
         yield x + i, y
 
 
 def _emit_links(it):
-    """Cells come one after the other: first the table's rows (ball = 0), then the lookups (ball = 1)."""
-    held: list[np.ndarray] = []
+    """Cells hold first the table's rows (ball = 0), then the lookups (ball = 1)."""
 
-    def cells(keys, ball, fps):
-        cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        end = np.append(cut[1:], len(keys))
+    def decide(keys, ball, fps):
+        fps = fps.view(np.uint64)
+        cut, end = C.cells(keys)
         tables = np.add.reduceat(ball == 0, cut)
         worth = np.flatnonzero((tables >= 1) & (end - cut >= 2))
         us, vs = [], []
@@ -95,37 +100,27 @@ def _emit_links(it):
             forest = Forest(len(part))
             for x, y in _close(part, part[:n]):
                 other = part[x] != part[y]
-                forest.link(x[other], y[other])
+                if other.any():
+                    forest.link(x[other], y[other])
             roots = forest.roots()
             moved = np.flatnonzero(roots != np.arange(len(part)))
-            us.append(part[moved])
-            vs.append(part[roots[moved]])
+            if len(moved):
+                us.append(part[moved])
+                vs.append(part[roots[moved]])
         none = np.zeros(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x]).view(np.int64)) for x in (us, vs)], ["u", "v"])
-
-    for batch in it:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-        if held:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        last = int(np.searchsorted(now[0], now[0][-1]))  # where the last cell, perhaps not whole yet, begins
-        if last:
-            yield cells(*(x[:last] for x in now))
-        held = [x[last:] for x in now]
-    if held:
-        yield cells(*held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x]).view(np.int64)) for x in (us, vs)], ["u", "v"])
+
+    yield from C.whole_cells(it, decide)
 
 
 def near_links(classes: DataFrame) -> DataFrame:
     """``u, v``: links that span every component of the distinct ``fp`` at most MAX_BITS apart."""
-    spark = classes.sparkSession
     half = lambda k: F.expr(f"shiftrightunsigned(fp, {32 * k}) & 4294967295L")
     ball = "filter(transform(sequence(0, 31), b -> key & ~shiftleft(1L, b)), k -> k <> key)"
     table = classes.select(F.explode(F.array(*(F.struct(F.lit(k).alias("seg"), half(k).alias("key")) for k in (0, 1)))).alias("c"), "fp").select("c.seg", "c.key", "fp")
     cells = table.select("seg", F.explode(F.expr(f"concat(array(struct(key as key, 0 as ball)), transform({ball}, k -> struct(k as key, 1 as ball)))")).alias("c"), "fp")
     cells = cells.select((F.col("c.key") * 2 + F.col("seg")).alias("key"), F.col("c.ball").alias("ball"), "fp")
-    dealt = cells.repartition(C.partitions(spark), "key").sortWithinPartitions("key", "ball", "fp")
+    dealt = cells.repartition(C.partitions(classes.sparkSession), "key").sortWithinPartitions("key", "ball", "fp")
     return dealt.mapInArrow(_emit_links, "u long, v long")
 
 
@@ -146,3 +141,62 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labels = C.materialize(named.join(least, "component").select("fp", "component_id"), "labels")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("is_first"))
+
+
+def _sketches(texts: pa.Array, shingle: int) -> pa.Array:
+    """Each text's set of shingles as one hash, and the fingerprint of that set."""
+    hashes, offsets = S.shingle_sets(texts, shingle)
+    n = np.diff(offsets)
+    fp = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, offsets[:-1][full], axis=0, dtype=np.int32)
+        fp[full] = np.packbits(ones * 2 > n[full][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return pa.StructArray.from_arrays([pa.array(S.nodes(hashes, offsets).view(np.int64)), pa.array(fp.view(np.int64))], ["node", "fp"])
+
+
+def _sketch(text: Column, shingle: int) -> Column:
+    @F.arrow_udf("struct<node: long, fp: long>")
+    def sketch(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_sketches(part, shingle) for part in C.slices(texts)])
+
+    return sketch(text)
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, shingle: int = S.SHINGLE, least: float = S.LEAST) -> DataFrame:
+    """``u, v``: links that span the groups of ``classes(node, fp)`` by likeness; ``texts(text)`` has their texts."""
+    # what fingerprints reach: a comparison for each row of a spanning forest, not for each pair
+    spans = near_links(classes.select("fp").distinct()).distinct()
+    heads = classes.groupBy("fp").agg(F.min("node").alias("head"))
+    side = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    apart = spans.join(side("u"), "u").join(side("v"), "v").select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
+    twins = classes.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    links = C.materialize(S.verified(C.materialize(apart.union(twins), "candidates"), texts, shingle, least), "similar")
+    # the rest: only pairs of different groups are still open
+    groups = connected_components(links).select("node", F.col("component").alias("group"))
+    rest = C.materialize(S.prefix_pairs(texts, groups, shingle, least), "candidates")
+    return links.union(S.verified(rest, texts, shingle, least))
+
+
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = S.SHINGLE, least: float = S.LEAST) -> DataFrame:
+    """One row of each group of near copies, with all its columns; the others go.
+
+    Texts are linked where their sets of ``shingle`` words (A-Z as a-z) have a
+    Jaccard likeness of ``least`` or more; groups are what links reach. Of a
+    group stays the row with the smallest id (nulls last; of equal ids the same
+    text each time). Texts with equal sets are of one group, so null texts and
+    texts without words are one. Every row is a row of its own, whatever ids
+    repeat. Columns may have any names. An empty table gives no rows.
+    """
+    C.session_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    sketched = rows.withColumn("sketch", _sketch(F.col("text"), shingle))
+    first = F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"))
+    classes = C.materialize(sketched.select("id", "sketch.*").groupBy("node").agg(F.min("fp").alias("fp"), F.min(first).alias("first")), "classes")
+    links = similar_links(classes.select("node", "fp"), rows.select("text"), shingle, least)
+    named = classes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    winners = named.groupBy("component").agg(F.min(F.struct("first.unnamed", "first.id", "node")).alias("least")).select(F.col("least.node").alias("node"))
+    order = Window.partitionBy("node").orderBy(F.col("id").asc_nulls_last(), "text")
+    ranked = sketched.select("row", "id", "text", "sketch.node").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return ranked.join(winners, "node", "left_semi").select("row.*")

@@ -9,7 +9,9 @@ import pyarrow as pa
 
 import corpus_pipeline as P
 from logtide.llm import quality, secrets
+from logtide.llm.queries import vocabulary
 
+WORDS = vocabulary("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -51,11 +53,11 @@ def test_near_copies_keep_one_row_a_group(spark):
 
 
 def test_letters_and_overlaps_are_priced():
-    found = lambda t: [(k, t[a:b]) for k, a, b in secrets.secret_spans(t)]
+    found = lambda t: [(k, t[a:b]) for k, a, b in secrets.secret_spans(t, WORDS)]
     assert found("The passphrase is correcthorsebatterystaple") == [("guess", "correcthorsebatterystaple")]
     assert found("login: kjwqzxvbnmplfrt") == [("guess", "kjwqzxvbnmplfrt")]
     text = "password: Winter2024!x#Q9zK and more"
-    assert secrets.redact(text, secrets.secret_spans(text)) == "[secret] and more"
+    assert secrets.redact(text, secrets.secret_spans(text, WORDS)) == "[secret] and more"
     assert [k for k, _ in found("password: abcdefgh1234")] == ["assign"]
     for word in "required incorrect stored hidden something unfortunately protected generated forgotten available administrator probably encrypted rejected Welcome transmitted".split():
         assert not found(f"The login is {word}."), word

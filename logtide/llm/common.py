@@ -26,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    set for the session and used.
+    Where the session names none and runs on one machine (tests), a temporary
+    folder is set for the session and used; on a cluster that is an error, as
+    executors would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="logtide-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -40,14 +43,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     Cuts lineage: a lost executor costs a re-read, not a recomputation, and
-    several consumers see one set of rows. ``release`` or the end of the
-    driver deletes the files.
+    several consumers see one set of rows. ``discard``, ``release`` or the end
+    of the driver deletes the files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table of ``materialize`` that nothing will read again."""
+    _delete(df.sparkSession, df._written_to)
+    _written.remove((df.sparkSession, df._written_to))
 
 
 def written(spark: SparkSession, path: str) -> None:
@@ -59,11 +70,13 @@ def release() -> None:
     """Delete what ``materialize`` has written so far."""
     while _written:
         spark, path = _written.pop()
-        if spark.sparkContext._jsc is None:
-            continue
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _at_exit() -> None:

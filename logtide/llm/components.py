@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -29,7 +29,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))
         small = large.join(low, "u").select(F.explode(star).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v"))
-        edges = materialize(small.where("u <> v").distinct(), "links")
+        last, edges = edges, materialize(small.where("u <> v").distinct(), "links")
+        discard(last)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break

@@ -139,7 +139,8 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Ids are cut into runs at fixed bounds; a run's last row and its next
     document meet because the first row of each run also goes to the run
-    before. Only those few rows travel twice.
+    before. Only those few rows travel twice. Run k is partition k, so runs
+    never share a task; rows without an id are one run.
     """
     spark = docs.sparkSession
     C.session_batches(spark)
@@ -161,5 +162,5 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = placed.join(closers, "run").select("doc_id", "text", "run", F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.col("before")).alias("before"))
     ways = F.array(F.struct("run", F.lit(True).alias("own")), F.struct(F.col("before").alias("run"), F.lit(False).alias("own")))
     both = marked.select(F.explode(F.filter(ways, lambda w: w["run"].isNotNull())).alias("way"), "doc_id", "text")
-    dealt = both.select("way.run", "way.own", "doc_id", "text").repartition(n, "run").sortWithinPartitions("run", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
+    dealt = both.select("way.run", "way.own", "doc_id", "text").repartitionById(n + 1, F.col("run")).sortWithinPartitions("run", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
     return dealt.mapInArrow(_emit(k, sketches, kept), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -17,13 +17,15 @@ into factors: runs of word windows that a reference holds.
   at a factor boundary. What no reference holds joins the index.
 * **Hot keys.** Pieces with equal content met earlier in the same task need no
   reference: the earlier document has them. (The task remembers a bounded
-  number of pieces; forgetting one costs a row, not a result.) Keys frequent
-  in any input batch are split by window, so a block of many different
-  contexts round one common gram is spread over many tasks; a document's
-  regular repeats of a window stay one row. At most
-  ``HOT_KEYS`` keys are split that way, so the broadcast is bounded.
-
-Windows are compared by a 48-bit hash within one 64-bit key.
+  number of pieces; forgetting one costs a row, not a result.) Pieces are
+  counted by key over the whole input, and each key with ``HOT_PIECES`` or more
+  is split by window, so a block of many different contexts round one common
+  gram is spread over many tasks; a document's regular repeats of a window stay
+  one row. Up to ``HOT_KEYS`` such keys go to every task, more are joined.
+
+Windows are compared by a 48-bit hash within one 64-bit key, not word by word:
+two different windows are taken for equal only where both agree, a chance of
+about 2 ** -112 a pair (2 ** -33 that it happens at all among 10 ** 12 windows).
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 GRAM = 16
-HOT_KEYS = 20_000
-#: A key with this many different pieces in one batch of input may be hot.
-HOT_IN_BATCH = 24
+#: A key with this many pieces, copies met in one task not counted, is split; keys up to which their list goes to every task (8 bytes each).
+HOT_PIECES = 512
+HOT_KEYS = 200_000
 #: Pieces that a task remembers.
 MEMORY = 1 << 20
 _WIDTH = 6
+_KNOWN = np.uint64((1 << 8 * _WIDTH) - 1)
 
 _PIECE = "key long, doc_id long, at long, n int, step int, windows binary"
 _FACTOR = "doc_id long, at long, n int, step int"
@@ -116,6 +119,41 @@ def _progressions(key, doc, at, window, count, length: int):
     return key[begin], doc[begin], at[begin], window[begin], count[begin], np.where(size > 1, size, count[begin]), step
 
 
+def _split(k: np.ndarray, d: np.ndarray, a: np.ndarray, w: np.ndarray, c: np.ndarray, windows: np.ndarray, length: int):
+    """Pieces as a row for each run of equal windows, with a key of its own; see ``_progressions``."""
+    piece = np.repeat(np.arange(len(c)), c)
+    inside = np.arange(len(piece)) - np.repeat(np.cumsum(c) - c, c)
+    value = windows[w[piece] + inside] & _KNOWN
+    begin = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])))
+    c = np.diff(np.append(begin, len(piece)))
+    inside, piece = inside[begin], piece[begin]
+    return _progressions(C.mix(k[piece] ^ value[begin]), d[piece], a[piece] + inside, w[piece] + inside, c, length)
+
+
+def _rows(k, d, a, w, c, times, step, windows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d), pa.array(a), pa.array(times.astype(np.int32)), pa.array(step.astype(np.int32)), _binary(windows, w, c)], ["key", "doc_id", "at", "n", "step", "windows"])
+
+
+def _emit_split(length: int):
+    """Splits pieces that are marked hot; the others stay as they are."""
+
+    def run(it):
+        for batch in it:
+            marked = batch.column("hot").fill_null(False).to_numpy(zero_copy_only=False) & batch.column("windows").is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(~marked)).select(["key", "doc_id", "at", "n", "step", "windows"])
+            if marked.any():
+                part = batch.filter(pa.array(marked))
+                raw = np.frombuffer(b"".join(part.column("windows").to_pylist()), np.uint8).reshape(-1, _WIDTH)
+                windows = np.zeros((len(raw), 8), np.uint8)
+                windows[:, :_WIDTH] = raw
+                windows = windows.reshape(-1).view(np.uint64)
+                k, d, a, c = (part.column(n).to_numpy() for n in ("key", "doc_id", "at", "n"))
+                c = c.astype(np.int64)
+                yield _rows(*_split(k.view(np.uint64), d, a, np.cumsum(c) - c, c, windows, length), windows)
+
+    return run
+
+
 def _emit_pieces(length: int, hot: np.ndarray):
     def run(it):
         seen: dict[int, int] = {}
@@ -148,18 +186,8 @@ def _emit_pieces(length: int, hot: np.ndarray):
                 if not len(part):
                     continue
                 k, d, a, c, w = keys[part], docs[part], at[part], n[part], lo[part]
-                times, step = c, np.ones(len(part), np.int64)
-                if is_hot:
-                    # a row a run of equal windows, each with a key of its own
-                    piece = np.repeat(np.arange(len(c)), c)
-                    inside = np.arange(len(piece)) - np.repeat(np.cumsum(c) - c, c)
-                    value = windows[w[piece] + inside]
-                    begin = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])))
-                    c = np.diff(np.append(begin, len(piece)))
-                    inside, piece = inside[begin], piece[begin]
-                    k, d, a, w = C.mix(k[piece] ^ value[begin]), d[piece], a[piece] + inside, w[piece] + inside
-                    k, d, a, w, c, times, step = _progressions(k, d, a, w, c, length)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d), pa.array(a), pa.array(times.astype(np.int32)), pa.array(step.astype(np.int32)), _binary(windows, w, c)], ["key", "doc_id", "at", "n", "step", "windows"])
+                split_up = _split(k, d, a, w, c, windows, length) if is_hot else (k, d, a, w, c, c, np.ones(len(part), np.int64))
+                yield _rows(*split_up, windows)
             sure = np.flatnonzero(known)
             if len(sure):
                 spread = C.mix(docs[sure].astype(np.uint64)).view(np.int64)
@@ -168,18 +196,22 @@ def _emit_pieces(length: int, hot: np.ndarray):
     return run
 
 
-def _emit_hot(length: int):
+def _emit_counts(length: int):
+    """Keys and their pieces; equal pieces met before in the task count once, as far as it remembers."""
+
     def run(it):
-        none = np.zeros(0, np.uint64)
+        seen: set[int] = set()
         for batch in C.batches(it, ["doc_id", "text"]):
             found = _pieces(batch, length)
             if found is None:
                 continue
-            distinct = np.unique(np.stack([found[0], found[4]], 1), axis=0)[:, 0] if len(found[0]) else none
-            keys, counts = np.unique(distinct, return_counts=True)
-            often = counts >= HOT_IN_BATCH
-            if often.any():
-                yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["key", "n"])
+            content, first = np.unique(found[4], return_index=True)
+            new = np.array([c not in seen for c in content.tolist()], bool)
+            if len(seen) > MEMORY:
+                seen.clear()
+            seen.update(content[new].tolist())
+            keys, counts = np.unique(found[0][first[new]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
     return run
 
@@ -287,11 +319,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     C.session_batches(spark)
     rows = C.own(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    hot = (
-        rows.mapInArrow(_emit_hot(length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").toPandas()
-    )  # bounded by HOT_KEYS; which keys it holds changes the balance only
-    keys = np.sort(hot["key"].to_numpy(np.int64).view(np.uint64))
-    pieces = rows.mapInArrow(_emit_pieces(length, keys), _PIECE)
+    counted = rows.mapInArrow(_emit_counts(length), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    hot = C.materialize(counted.where(F.col("n") >= HOT_PIECES).select("key"), "hot")
+    if hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        keys = np.sort(hot.toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
+        pieces = rows.mapInArrow(_emit_pieces(length, keys), _PIECE)
+    else:
+        pieces = rows.mapInArrow(_emit_pieces(length, np.zeros(0, np.uint64)), _PIECE).join(hot.withColumn("hot", F.lit(True)), "key", "left").mapInArrow(_emit_split(length), _PIECE)
     blocks = pieces.repartition(C.partitions(spark), "key").sortWithinPartitions("key", "doc_id", "at")
     factors = blocks.mapInArrow(_emit_factors, _FACTOR).groupBy("doc_id").agg(F.collect_set(F.struct("at", "n", "step")).alias("factors"))
     return rows.join(factors, "doc_id", "left").mapInArrow(_emit_kept(length), "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start: long, end: long>>")

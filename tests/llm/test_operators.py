@@ -82,7 +82,7 @@ def _dedup(df):
     return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df).collect())
 
 
-def test_substring_dedup_hot_keys(spark):
+def test_substring_dedup_hot_keys(spark, monkeypatch):
     """Many contexts round one gram, and few words over and over, so that keys are split."""
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
@@ -93,8 +93,12 @@ def test_substring_dedup_hot_keys(spark):
         middle = ("Is onhe. " * rng.randint(10, 90) if i % 3 else "Und " * rng.randint(20, 150)) + common
         rows.append((i, f"{head} {middle} {tail}" if i % 10 else f"{rows[i - 1][1] if i else head} {common}"))
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    assert len([1 for b in substring_dedup._emit_hot(50)(iter(df.toArrow().to_batches()))]) == 1
+    monkeypatch.setattr(substring_dedup, "HOT_PIECES", 24)
+    counts = [n for b in substring_dedup._emit_counts(50)(iter(df.toArrow().to_batches())) for n in b.column("n").to_pylist()]
+    assert max(counts) >= 24
     assert _dedup(df) == _dedup(df.repartition(4)) == _kept(rows)
+    monkeypatch.setattr(substring_dedup, "HOT_KEYS", 0)  # the list is too long for every task
+    assert _dedup(df.repartition(4)) == _kept(rows)
 
 
 def test_substring_dedup(docs, rows, empty):
@@ -386,17 +390,38 @@ def test_packing(docs, rows, empty):
 
 def test_configurations_cover_all():
     rng = np.random.default_rng(1)
-    for top in (100, 900, 1000):
+    for top, over in ((100, 1.005), (900, 1.02), (1000, 1.04)):
         h = np.bincount(rng.integers(1, top, 5000), minlength=1001)
-        bins = packing_lp.configurations(h, 1000, rounds=100)
+        bins = packing_lp.configurations(h, 1000)
         back = np.zeros(1001, int)
         for content, n in bins:
             assert sum(content) <= 1000
             for s in content:
                 back[s] += n
         assert (back == h).all()
-        assert sum(n for _, n in bins) <= (np.arange(1001) * h).sum() / 1000 * 1.05 + 1
+        assert sum(n for _, n in bins) <= (np.arange(1001) * h).sum() / 1000 * over + 1
     assert packing_lp.configurations(np.zeros(11, int), 10) == []
+    assert packing_lp.configurations(np.array([0, 0, 0, 5]), 3) == [([3], 5)]
+
+
+def test_program_is_solved():
+    """Prices bound the bins from below, the fractional solution covers what it says, and few pieces are left to best fit."""
+    rng = np.random.default_rng(2)
+    h = np.bincount(rng.integers(1, 1000, 5000), minlength=1001) * 1000
+    found = packing_lp.solve(h, 1000)
+    covered = np.zeros(1001)
+    for content, m in found.configurations.items():
+        assert sum(content) <= 1000
+        for s in content:
+            covered[s] += m
+    assert (covered[h > 0] / h[h > 0]).min() == pytest.approx(found.coverage) and found.coverage > 0.85
+    assert found.bound <= sum(n for _, n in packing_lp.best_fit(h, 1000)) and found.bound >= (np.arange(1001) * h).sum() / 1000 - 1e-6
+    assert found.bound <= found.value < 1.2 * found.bound
+    rest = h.copy()
+    packing_lp.rounded(found, rest, 1000, 0.99)
+    assert (rest >= 0).all() and rest.sum() < 0.4 * h.sum()
+    best, first = packing_lp.knapsack(np.array([-1, 1.0, -1, 4.0, 4.5]), 4)  # by length 0..4
+    assert best.tolist() == [0, 1, 2, 4, 5] and sorted(packing_lp.fillings(first, np.array([4]))[1].tolist()) == [1, 3]
 
 
 def test_order_minhash(docs, rows, empty):
@@ -418,6 +443,37 @@ def test_order_minhash(docs, rows, empty):
     assert order_minhash.order_minhash(empty).count() == 0
 
 
+def test_order_minhash_plainly():
+    """Signatures by plain loops."""
+    m = lambda x: int(order_minhash.C.mix(np.array([x % 2**64], np.uint64))[0])
+    rng = random.Random(8)
+    texts = ["", "a", "abcde", "abcdef", "ab" * 60, "é😀ß" * 30, *("".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 500))) for _ in range(12))]
+    seed = int(order_minhash._SEED)
+    for text in texts:
+        k = min(order_minhash.K, len(text))
+        elements, count = [], Counter()
+        for i in range(len(text) - k + 1 if text else 0):
+            gram = 0
+            for c in text[i : i + k]:
+                gram = (gram * order_minhash.C.Rolling.BASE + ord(c) + 1) % 2**64
+            high = m(gram) >> 24
+            h = m(m(high ^ seed) + count[high] * 0x9E3779B97F4A7C15) >> 24
+            count[high] += 1
+            elements.append((h, i))
+        want = np.zeros(order_minhash.SKETCHES, np.uint32)
+        for sketch in range(order_minhash.SKETCHES):
+            least = sorted(e for e in elements if e[0] >> 34 == sketch)[: order_minhash.KEPT]
+            value = seed
+            in_text = [h for h, _ in sorted(least, key=lambda e: e[1])]
+            for j, h in enumerate([*in_text, *[0] * (order_minhash.KEPT - len(in_text))]):
+                value = (m(value ^ h) + j + 1) % 2**64
+            if least:
+                want[sketch] = value >> 32 | 1
+        got = order_minhash.signature(order_minhash._points(text))
+        assert (got == want).all(), text
+        assert order_minhash.likeness(got, want) == 1
+
+
 def test_order_minhash_sees_order():
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(400)]

@@ -156,7 +156,8 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, r
 
 
 def _hashed(kind: int, values: np.ndarray) -> np.ndarray:
-    return (C.mix(values.astype(np.uint64) * np.uint64(16) + np.uint64(kind)) >> np.uint64(48)).astype(np.int64) % FEATURES
+    """Multiplicative hash of small numbers to FEATURES (a power of two) slots."""
+    return ((values.astype(np.uint64) * np.uint64(4) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - FEATURES.bit_length())).astype(np.int64)
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +174,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     one, two = np.full(len(data), 32, np.int64), np.full(len(data), 32, np.int64)
     one[1:], two[2:] = wide[:-1], wide[:-2]
     one[inner < 1], two[inner < 2] = 32, 32  # a text begins as if behind spaces
-    grams = _TRIPLES[two << 16 | one << 8 | wide]
+    grams = _hashed(0, two << 16 | one << 8 | wide)
     starts, ends, first = C.word_bounds(data, offsets)
     words, hashes = np.diff(first), C.word_hashes(data, starts, ends)
     row = np.repeat(np.arange(n_texts), words)
@@ -192,7 +193,6 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 #: Kinds of bytes: letters, capitals, digits, ends of sentences, other signs, other.
 _KIND = np.array([1 if chr(c) in "abcdefghijklmnopqrstuvwxyz" else 2 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 3 if chr(c) in "0123456789" else 4 if chr(c) in ".?!" else 5 if c < 128 else 6 for c in range(256)])
-_TRIPLES = _hashed(0, np.arange(1 << 24)).astype(np.uint16)
 
 
 def _scores(weights: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

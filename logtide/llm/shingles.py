@@ -24,9 +24,9 @@ LEAST = 0.8
 #: Texts looked at for common shingles, and most common shingles known. Both bear on speed only.
 SAMPLE = 20_000
 COMMON = 100_000
-#: Pairs looked at once in a cell, and members from which a group is compared with other groups only.
-_BLOCK = 1 << 20
-_LARGE = 64
+#: Pairs looked at once in a cell, and rows up to which a cell, and members up to which a group in a cell, is small.
+_BLOCK = 1 << 19
+_LARGE = 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -59,6 +59,15 @@ def nodes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return C.Rolling(hashes).of(offsets[:-1], offsets[1:])
 
 
+def least_hashes(hashes: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """The least of each set's hashes in ``n`` orders (rows: sets); 0 for the empty set."""
+    out = np.zeros((len(offsets) - 1, n), np.uint64)
+    full = np.flatnonzero(np.diff(offsets))
+    for k in range(n if len(full) else 0):
+        out[full, k] = np.minimum.reduceat(C.mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64)), offsets[:-1][full])
+    return out
+
+
 def alike(a: pa.Array, b: pa.Array, shingle: int = SHINGLE, least: float = LEAST) -> np.ndarray:
     """Whether the sets of two texts have a Jaccard likeness of ``least`` or more, row by row."""
     (p, p_at), (q, q_at) = shingle_sets(a, shingle), shingle_sets(b, shingle)
@@ -131,34 +140,47 @@ def _emit_prefixes(shingle: int, least: float, common: np.ndarray, level: np.nda
 def _emit_candidates(least: float):
     """Cells: pairs of nodes of different groups that can still be alike."""
 
-    def meet(one, other, own: bool):
-        """Candidates between two lists of a cell, or within one, a block of rows at a time."""
-        (v, s, p, g), (w, t, q, h) = one, other
-        step = max(1, _BLOCK // max(len(w), 1))
-        for i in range(0, len(v), step):
-            a, b = slice(i, i + step), slice(i if own else 0, None)
-            must = least / (1 + least) * (s[a, None] + t[None, b]) - 1e-6
-            can = 1 + np.minimum((s - p - 1)[a, None], (t - q - 1)[None, b])
-            x, y = np.nonzero((can >= must) & (g[a, None] != h[None, b]))
+    def open_(s, p, g, t, q, h):
+        """Sizes and places leave room for ``least``, and the groups differ."""
+        return (g != h) & (1 + np.minimum(s - p, t - q) - 1 >= least / (1 + least) * (s + t) - 1e-6)
+
+    def told(x, y):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+
+    def meet(one, other):
+        """Candidates between two lists of a large cell, a block of rows at a time."""
+        step = max(1, _BLOCK // max(len(other[0]), 1))
+        for i in range(0, len(one[0]), step):
+            v, s, p, g = (x[i : i + step, None] for x in one)
+            w, t, q, h = (x[None, :] for x in other)
+            x, y = np.nonzero(open_(s, p, g, t, q, h))
             if len(x):
-                x, y = v[a][x], w[b][y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+                yield told(v[x, 0], w[0, y])
 
     def decide(keys, node, n, place, group):
         cut, end = C.cells(keys)
-        for lo, hi in zip(cut[end - cut > 1].tolist(), end[end - cut > 1].tolist(), strict=True):
+        size = end - cut
+        mixed = np.minimum.reduceat(group, cut) != np.maximum.reduceat(group, cut)
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        for k in range(2, _LARGE + 1):  # all cells of one size at once
+            at = cut[mixed & (size == k)]
+            for i in range(k if len(at) else 0):
+                for j in range(i + 1, k):
+                    a, b = at + i, at + j
+                    near = open_(n[a], place[a], group[a], n[b], place[b], group[b])
+                    if near.any():
+                        yield told(node[a[near]], node[b[near]])
+        wide = mixed & (size > _LARGE)
+        for lo, hi in zip(cut[wide].tolist(), end[wide].tolist(), strict=True):
             first = np.unique(node[lo:hi], return_index=True)[1] + lo
-            part = [x[first] for x in (node, n.astype(np.int64), place.astype(np.int64), group)] if len(first) > 1 else []
-            if not part or (part[3] == part[3][0]).all():
-                continue
-            names, at, often = np.unique(part[3], return_inverse=True, return_counts=True)
-            large = np.flatnonzero(often > _LARGE) if len(first) > _LARGE else []
+            part = [x[first] for x in (node, n, place, group)]
+            _, at, often = np.unique(part[3], return_inverse=True, return_counts=True)
             left = np.ones(len(first), bool)
-            for k in large:  # a large group meets what is not in it; then it is done
+            for k in np.flatnonzero(often > _LARGE).tolist():  # a large group meets what is not in it; then it is done
                 own = at == k
                 left &= ~own
-                yield from meet([x[own] for x in part], [x[left] for x in part], False)
-            yield from meet([x[left] for x in part], [x[left] for x in part], True)
+                yield from meet([x[own] for x in part], [x[left] for x in part])
+            yield from meet([x[left] for x in part], [x[left] for x in part])
 
     return lambda it: C.whole_cells(it, decide)
 

@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .components import Forest
 
 SHINGLE = 5
 LEAST = 0.8
 #: Texts looked at for common shingles, and most common shingles known. Both bear on speed only.
 SAMPLE = 20_000
 COMMON = 100_000
-#: Pairs looked at once in a cell, and rows up to which a cell, and members up to which a group in a cell, is small.
-_BLOCK = 1 << 19
+#: Rows up to which a cell is small.
 _LARGE = 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -138,24 +138,14 @@ def _emit_prefixes(shingle: int, least: float, common: np.ndarray, level: np.nda
 
 
 def _emit_candidates(least: float):
-    """Cells: pairs of nodes of different groups that can still be alike."""
+    """Cells: pairs of nodes of different groups that can still be alike; of a large cell its rows instead (key, node)."""
 
     def open_(s, p, g, t, q, h):
         """Sizes and places leave room for ``least``, and the groups differ."""
         return (g != h) & (1 + np.minimum(s - p, t - q) - 1 >= least / (1 + least) * (s + t) - 1e-6)
 
-    def told(x, y):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
-
-    def meet(one, other):
-        """Candidates between two lists of a large cell, a block of rows at a time."""
-        step = max(1, _BLOCK // max(len(other[0]), 1))
-        for i in range(0, len(one[0]), step):
-            v, s, p, g = (x[i : i + step, None] for x in one)
-            w, t, q, h = (x[None, :] for x in other)
-            x, y = np.nonzero(open_(s, p, g, t, q, h))
-            if len(x):
-                yield told(v[x, 0], w[0, y])
+    def told(x, y, wide=False):
+        return pa.RecordBatch.from_arrays([pa.array(x if wide else np.minimum(x, y)), pa.array(y if wide else np.maximum(x, y)), pa.array(np.full(len(x), wide))], ["u", "v", "wide"])
 
     def decide(keys, node, n, place, group):
         cut, end = C.cells(keys)
@@ -171,22 +161,66 @@ def _emit_candidates(least: float):
                     if near.any():
                         yield told(node[a[near]], node[b[near]])
         wide = mixed & (size > _LARGE)
-        for lo, hi in zip(cut[wide].tolist(), end[wide].tolist(), strict=True):
-            first = np.unique(node[lo:hi], return_index=True)[1] + lo
-            part = [x[first] for x in (node, n, place, group)]
-            _, at, often = np.unique(part[3], return_inverse=True, return_counts=True)
-            left = np.ones(len(first), bool)
-            for k in np.flatnonzero(often > _LARGE).tolist():  # a large group meets what is not in it; then it is done
-                own = at == k
-                left &= ~own
-                yield from meet([x[own] for x in part], [x[left] for x in part])
-            yield from meet([x[left] for x in part], [x[left] for x in part])
+        rows = np.repeat(wide, size)
+        if rows.any():
+            yield told(keys[rows], node[rows], True)
 
     return lambda it: C.whole_cells(it, decide)
 
 
-def prefix_pairs(texts: DataFrame, groups: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """``u, v``: pairs of nodes that may have a likeness of ``least`` or more, all such but those within one of ``groups(node, group)``."""
+def _emit_alike(least: float):
+    """Links of a cell's sets, a spanning forest of them; what a group links already is not compared.
+
+    Shingles are counted by their first byte; the sum of the lesser counts is
+    never less than what two sets share, so most pairs fall by it. The others
+    are compared shingle by shingle.
+    """
+
+    def decide(t: pa.Table):
+        node, group = t.column("node").to_numpy(), t.column("group").to_numpy()
+        sets = t.column("hashes").combine_chunks()
+        at, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+        n = np.diff(at)
+        rows = np.repeat(np.arange(len(n)), n)
+        counts = np.bincount(rows * 256 + (flat[at[0] : at[-1]] >> np.uint64(56)).astype(np.int64), minlength=len(n) * 256).reshape(-1, 256)
+        counts = counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32)
+        forest = Forest(len(n))
+        first = np.unique(group, return_index=True, return_inverse=True)
+        forest.link(np.arange(len(n)), first[1][first[2]])
+        us, vs = [], []
+        for i in range(len(n) - 1):
+            roots = forest.roots()
+            near = i + 1 + np.flatnonzero((roots[i + 1 :] != roots[i]) & (np.minimum(n[i], n[i + 1 :]) >= least * np.maximum(n[i], n[i + 1 :]) - 1e-9))
+            must = least / (1 + least) * (n[i] + n[near]) - 1e-6
+            near, must = (x[np.minimum(counts[i], counts[near]).sum(1, dtype=np.int64) >= must] for x in (near, must))
+            for j, need in zip(near.tolist(), must.tolist(), strict=True):
+                if forest.roots()[i] != forest.roots()[j] and len(np.intersect1d(flat[at[i] : at[i + 1]], flat[at[j] : at[j + 1]], assume_unique=True)) >= need:
+                    forest.link(np.array([i]), np.array([j]))
+                    us.append(min(node[i], node[j]))
+                    vs.append(max(node[i], node[j]))
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    def run(it):
+        held = None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            keys = held.column("key").to_numpy()
+            if keys[0] != keys[-1]:
+                cut, end = C.cells(keys)
+                for lo, hi in zip(cut[:-1].tolist(), end[:-1].tolist(), strict=True):
+                    yield decide(held.slice(lo, hi - lo))
+                held = held.slice(int(cut[-1]))
+        if held is not None:
+            yield decide(held)
+
+    return run
+
+
+def prefix_links(texts: DataFrame, groups: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """``u, v``: links of a likeness of ``least`` or more that join what ``groups(node, group)`` leaves apart."""
     spark = texts.sparkSession
     parts = max(1, math.ceil(texts.count() / SAMPLE))
     drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).distinct()
@@ -196,4 +230,19 @@ def prefix_pairs(texts: DataFrame, groups: DataFrame, shingle: int = SHINGLE, le
     prefixes = texts.mapInArrow(_emit_prefixes(shingle, least, common[order], level[order]), "key long, node long, n int, place int")
     grouped = prefixes.join(groups, "node", "left").select("key", "node", "n", "place", F.coalesce("group", "node").alias("group"))
     dealt = grouped.repartition(C.partitions(spark), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_emit_candidates(least), "u long, v long").distinct()
+    found = C.materialize(dealt.mapInArrow(_emit_candidates(least), "u long, v long, wide boolean").distinct(), "candidates")
+    # pairs of small cells are checked one by one, large cells as a whole, by their sets
+    wide = found.where("wide").select(F.col("u").alias("key"), F.col("v").alias("node"))
+
+    @F.arrow_udf("struct<node: long, hashes: array<long>>")
+    def sets(column: pa.Array) -> pa.Array:
+        out = []
+        for part in C.slices(column):
+            hashes, offsets = shingle_sets(part, shingle)
+            out.append(pa.StructArray.from_arrays([pa.array(nodes(hashes, offsets).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["node", "hashes"]))
+        return pa.concat_arrays(out)
+
+    held = texts.select(sets("text").alias("s")).select("s.*").join(wide.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("hashes").alias("hashes"))
+    cells = wide.join(held, "node").join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group"), "hashes")
+    alike_ = cells.repartition(C.partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_emit_alike(least), "u long, v long")
+    return verified(found.where("not wide").select("u", "v"), texts, shingle, least).union(alike_)

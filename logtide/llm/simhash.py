@@ -200,8 +200,7 @@ def similar_links(classes: DataFrame, texts: DataFrame, shingle: int = S.SHINGLE
     links = C.materialize(S.verified(C.materialize(apart.union(twins).union(led).distinct(), "candidates"), texts, shingle, least), "similar")
     # the rest: only pairs of different groups are still open
     groups = connected_components(links).select("node", F.col("component").alias("group"))
-    rest = C.materialize(S.prefix_pairs(texts, groups, shingle, least), "candidates")
-    return links.union(S.verified(rest, texts, shingle, least))
+    return links.union(S.prefix_links(texts, groups, shingle, least))
 
 
 def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = S.SHINGLE, least: float = S.LEAST) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.adapters import UNKNOWN
+
 
 def past_z(windows: DataFrame, value: str = "num_records", order: str = "window_id") -> DataFrame:
     """z-score against all earlier windows; 0 with fewer than three or no spread."""
@@ -26,37 +28,76 @@ def template_deviation(members: DataFrame) -> DataFrame:
     return out.withColumn("deviation_score", F.when(known, F.greatest(F.lit(0.0), "past_z") + F.log1p(F.greatest(F.lit(0.0), "ratio"))).otherwise(F.log1p(F.col("cnt").cast("double"))))
 
 
+#: The context features of ``sequence_context``, the composite score last.
+CONTEXT = (
+    "prev_event_novelty_score", "next_event_novelty_score", "neighbor_max_novelty_score", "neighbor_mean_novelty_score", "local_unseen_count_radius2", "local_new_template_count_radius2", "local_template_switch_count_radius2",
+    "prev_template_same", "next_template_same", "relative_position_in_window", "distance_to_window_edge_ratio", "local_sequence_context_score",
+)
+
+
 def sequence_context(members: DataFrame) -> DataFrame:
-    """Features of the two rows before and behind in the window, and the composite score."""
+    """``members`` with features of the up to five rows round each (itself and two to each side) in its window.
+
+    Unseen and new rows are counted with the row itself, novelty of the
+    neighbours without it. A null template counts as the unknown one.
+    """
     w = Window.partitionBy("window_id").orderBy("event_order")
     near, before, behind = w.rowsBetween(-2, 2), w.rowsBetween(-2, -1), w.rowsBetween(1, 2)
-    all_rows = Window.partitionBy("window_id")
-    nov = F.col("novelty_score")
-    switch = F.when(F.lag("template").over(w) != F.col("template"), 1).otherwise(0)
-    x = members.withColumn("_sw", switch).withColumn("_pos", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(all_rows))
-    n = F.count("*").over(near) - 1
+    nov, template = F.col("novelty_score"), F.col("_t")
+    x = members.withColumn("_t", F.coalesce("template", F.lit(UNKNOWN)))
+    x = x.withColumn("_sw", F.when(F.lag("_t").over(w) != template, 1).otherwise(0)).withColumn("_pos", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("window_id")))
+    others = F.count("*").over(near) - 1
+    count = lambda c: F.sum(F.col(c).cast("long")).over(near)
+    same = lambda other: F.coalesce((other == template).cast("long"), F.lit(0))
+    last = F.col("_n") - 1
     x = x.select(
-        "*", F.coalesce(F.lag("novelty_score").over(w), F.lit(0.0)).alias("prev_novelty"), F.coalesce(F.lead("novelty_score").over(w), F.lit(0.0)).alias("next_novelty"),
-        F.coalesce(F.greatest(F.max(nov).over(before), F.max(nov).over(behind)), F.lit(0.0)).alias("neighbor_max"),
-        F.when(n > 0, (F.sum(nov).over(near) - nov) / n).otherwise(0.0).alias("neighbor_mean"),
-        (F.sum(F.col("unseen").cast("long")).over(near) - F.col("unseen").cast("long")).alias("neighbor_unseen"), (F.sum(F.col("is_new").cast("long")).over(near) - F.col("is_new").cast("long")).alias("neighbor_new"),
-        F.sum("_sw").over(w.rowsBetween(-1, 2)).alias("template_switches"),
-        F.coalesce((F.lag("template").over(w) == F.col("template")).cast("long"), F.lit(0)).alias("prev_same"), F.coalesce((F.lead("template").over(w) == F.col("template")).cast("long"), F.lit(0)).alias("next_same"),
-    )
-    x = x.withColumn("relative_position", F.when(F.col("_n") > 1, F.col("_pos") / (F.col("_n") - 1)).otherwise(0.0)).withColumn("edge_distance", F.least("_pos", F.col("_n") - 1 - F.col("_pos")) / F.greatest(F.lit(1), F.col("_n") - 1))
-    return x.withColumn("context_score", F.col("neighbor_max") + F.col("neighbor_unseen") + F.col("neighbor_new") + F.col("template_switches") + 1 - F.greatest("prev_same", "next_same")).drop("_sw", "_pos", "_n")
+        *members.columns,
+        F.coalesce(F.lag("novelty_score").over(w), F.lit(0.0)).alias("prev_event_novelty_score"),
+        F.coalesce(F.lead("novelty_score").over(w), F.lit(0.0)).alias("next_event_novelty_score"),
+        F.coalesce(F.greatest(F.max(nov).over(before), F.max(nov).over(behind)), F.lit(0.0)).alias("neighbor_max_novelty_score"),
+        F.when(others > 0, (F.sum(nov).over(near) - nov) / others).otherwise(0.0).alias("neighbor_mean_novelty_score"),
+        count("unseen").alias("local_unseen_count_radius2"),
+        count("is_new").alias("local_new_template_count_radius2"),
+        F.sum("_sw").over(w.rowsBetween(-1, 2)).alias("local_template_switch_count_radius2"),
+        same(F.lag("_t").over(w)).alias("prev_template_same"),
+        same(F.lead("_t").over(w)).alias("next_template_same"),
+        F.when(last > 0, F.col("_pos") / last).otherwise(0.0).alias("relative_position_in_window"),
+        F.when(last > 0, F.least("_pos", last - F.col("_pos")) / (last / 2)).otherwise(0.0).alias("distance_to_window_edge_ratio"),
+    )
+    return x.withColumn("local_sequence_context_score", F.expr("neighbor_max_novelty_score + local_unseen_count_radius2 + local_new_template_count_radius2 + local_template_switch_count_radius2 + 1 - greatest(prev_template_same, next_template_same)"))
+
+
+#: Columns of the suspicious windows that events take over: the column and the feature it becomes.
+_OF_WINDOW = {
+    "max_score": "max_window_gev_score", "max_excess": "max_window_gev_excess", "template_entropy": "max_window_template_entropy", "rare_template_ratio": "max_window_rare_template_ratio",
+    "unseen_template_ratio": "max_window_unseen_template_ratio", "new_template_ratio": "max_window_new_template_ratio", "mean_novelty_score": "max_window_mean_event_novelty_score",
+}
+_OF_TEMPLATE = {
+    "cnt": "max_template_count_in_window", "cnt_ratio": "max_template_ratio_in_window", "past_mean": "template_count_past_mean", "past_std": "template_count_past_std", "past_z": "template_count_past_z",
+    "ratio": "template_count_past_ratio", "excess": "template_count_past_excess", "seen_windows": "template_count_seen_windows", "deviation_score": "template_count_deviation_score",
+}
+_OF_EVENT = {
+    "novelty_score": "novelty_score", "rarity_score": "rarity_score", "historical_count_log": "historical_count_log", "unseen": "unseen_in_history", "rare": "historically_rare", "is_new": "is_new_template", "burst": "template_burst_score",
+} | {c: c for c in CONTEXT}
+EVENT_FEATURES = ("suspicious_window_count", *_OF_EVENT.values(), *_OF_WINDOW.values(), *_OF_TEMPLATE.values())
 
 
 def event_candidates(members: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row for each event in a suspicious window: maxima of its features, clipped at 0."""
+    """One row for each event in a suspicious window, with ``EVENT_FEATURES``: maxima over its windows, 0 at least.
+
+    ``windows``: ``window_id, is_suspicious``, the columns of ``_OF_WINDOW`` and ``num_records``.
+    ``template_burst_score`` is the longest unbroken run of unseen or new rows that holds the event.
+    """
     from .extremes import burst_runs
 
-    flagged = members.join(windows.where("is_suspicious").select("window_id", "max_excess"), "window_id")
-    rows = sequence_context(burst_runs(flagged)).join(template_deviation(members).select("window_id", "template", "deviation_score", "cnt", F.col("past_z").alias("template_past_z")), ["window_id", "template"])
+    named = members.withColumn("template", F.coalesce("template", F.lit(UNKNOWN)))
+    flagged = named.join(windows.where("is_suspicious").select("window_id", "num_records", *_OF_WINDOW), "window_id")
+    deviation = template_deviation(named.select("window_id", "template"))
+    rows = sequence_context(burst_runs(flagged)).withColumn("historical_count_log", F.log1p("historical_count")).join(deviation, ["window_id", "template"]).withColumn("cnt_ratio", F.col("cnt") / F.col("num_records"))
     top = lambda c, name: F.greatest(F.lit(0.0), F.max(F.col(c).cast("double"))).alias(name)
     return rows.groupBy("event_id").agg(
-        F.first("event_order").alias("event_order"), F.first("block_id").alias("block_id"), F.max("label").alias("label"), F.first("template").alias("template"), F.first("message").alias("message"), F.count("*").alias("suspicious_window_count"),
-        top("max_excess", "gev_excess"), top("novelty_score", "novelty_score"), top("rarity_score", "rarity_score"), top("burst", "event_burst"), top("cnt", "template_burst_score"), top("deviation_score", "template_count_deviation_score"), top("template_past_z", "template_count_past_z"), top("context_score", "local_sequence_context_score"),
+        F.first("event_order").alias("event_order"), F.first("block_id").alias("block_id"), F.max_by("label", "window_id").alias("label"), F.first("template").alias("template"), F.first("message").alias("message"),
+        F.count("*").alias("suspicious_window_count"), *(top(c, name) for c, name in (_OF_EVENT | _OF_WINDOW | _OF_TEMPLATE).items()),
     )
 
 
@@ -90,6 +131,7 @@ _ORDER = ("template_burst_score", "template_count_deviation_score", "novelty_sco
 #: Ranking methods as score expressions over the candidate columns.
 METHODS = {
     "burst": "template_burst_score", "deviation": "template_count_deviation_score", "novelty": "novelty_score", "rarity": "rarity_score", "past_z": "template_count_past_z", "context": "local_sequence_context_score",
+    "markov_bigram": "markov_bigram_surprise", "markov_trigram": "markov_trigram_surprise", "burst_markov": "burst_norm + markov_norm",
     "burst_novelty": "burst_norm + novelty_norm", "burst_deviation": "burst_norm + deviation_norm", "burst_context": "burst_norm + context_norm",
 }
 
@@ -97,11 +139,20 @@ METHODS = {
 def normalised(candidates: DataFrame) -> DataFrame:
     """Adds ``*_norm`` columns: the score over its maximum (0 where that is 0)."""
     pairs = {"burst": "template_burst_score", "deviation": "template_count_deviation_score", "novelty": "novelty_score", "context": "local_sequence_context_score"}
+    if "markov_bigram_surprise" in candidates.columns:
+        pairs["markov"] = "markov_bigram_surprise"
     tops = candidates.agg(*(F.max(c).alias(f"_{n}") for n, c in pairs.items()))
     out = candidates.crossJoin(F.broadcast(tops))
     return out.withColumns({f"{n}_norm": F.when(F.col(f"_{n}") > 0, F.col(c) / F.col(f"_{n}")).otherwise(0.0) for n, c in pairs.items()}).drop(*(f"_{n}" for n in pairs))
 
 
+def with_markov(candidates: DataFrame) -> DataFrame:
+    """Adds the surprise of each candidate after one and after two candidates before it, in candidate order."""
+    x = candidates.withColumn("pos", F.col("event_order"))
+    two = markov_surprise(x, 2).withColumnRenamed("surprise", "markov_bigram_surprise")
+    return two.join(markov_surprise(x, 3).select("event_id", F.col("surprise").alias("markov_trigram_surprise")), "event_id").drop("pos")
+
+
 def score(method: str) -> Column:
     return F.expr(METHODS[method])
 

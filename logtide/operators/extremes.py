@@ -53,7 +53,7 @@ def gev_scores(features: DataFrame, names: tuple[str, ...] = ENSEMBLE, alpha: fl
 def ensemble(scores: DataFrame) -> DataFrame:
     """OR rule: a window is suspicious if any member says so."""
     return scores.groupBy("window_id").agg(
-        F.max("is_suspicious").alias("is_suspicious"), F.sum(F.col("is_suspicious").cast("long")).alias("num_triggered"), F.max(F.col("value") - F.col("threshold")).alias("max_excess"),
+        F.max("is_suspicious").alias("is_suspicious"), F.sum(F.col("is_suspicious").cast("long")).alias("num_triggered"), F.max(F.col("value") - F.col("threshold")).alias("max_excess"), F.max("value").alias("max_score"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("is_suspicious"), F.col("statistic")))), ",").alias("triggered"), F.max("window_label").alias("window_label"), F.max("num_anomalous").alias("num_anomalous"),
     )
 
@@ -84,9 +84,9 @@ def order_statistic(values: DataFrame, column: str, q: float) -> DataFrame:
     return upto.crossJoin(F.broadcast(n)).where(F.col("upto") >= F.floor((F.col("n") - 1) * q) + 1).agg(F.min(column).alias("u"), F.max("n").alias("n"))
 
 
-def burst_runs(members: DataFrame) -> DataFrame:
+def burst_runs(members: DataFrame, key: str = "window_id") -> DataFrame:
     """Length of the unbroken unseen-or-new run in its window that holds each row, else 0."""
-    w = Window.partitionBy("window_id").orderBy("event_order")
+    w = Window.partitionBy(key).orderBy("event_order")
     on = (F.col("unseen") | F.col("is_new")).cast("int")
     island = members.withColumn("_on", on).withColumn("_island", F.sum(1 - F.col("_on")).over(w))
-    return island.withColumn("burst", F.when(F.col("_on") == 1, F.sum("_on").over(Window.partitionBy("window_id", "_island"))).otherwise(0)).drop("_on", "_island")
+    return island.withColumn("burst", F.when(F.col("_on") == 1, F.sum("_on").over(Window.partitionBy(key, "_island"))).otherwise(0)).drop("_on", "_island")

@@ -23,8 +23,13 @@ def average_precision(scored: DataFrame) -> DataFrame:
 
 
 def choose_threshold(scored: DataFrame, least_recall: float) -> DataFrame:
-    """Of the thresholds that keep the recall, the one with the best (precision, recall, threshold)."""
-    return curve(scored).where(F.col("recall") >= least_recall).orderBy(F.desc("precision"), F.desc("recall"), F.desc("score")).limit(1).selectExpr("score as threshold", "precision", "recall")
+    """Of the thresholds that keep the recall, the one with the best (precision, recall, threshold).
+
+    Where none does, the 0.9 quantile of the scores, without precision and recall.
+    """
+    best = curve(scored).where(F.col("recall") >= least_recall).orderBy(F.desc("precision"), F.desc("recall"), F.desc("score")).limit(1)
+    fallback = scored.where(F.col("score").isNotNull()).agg(F.percentile("score", 0.9).alias("fallback"))
+    return fallback.join(best.select("score", "precision", "recall"), F.lit(True), "left").select(F.coalesce("score", "fallback").alias("threshold"), "precision", "recall")
 
 
 def at_threshold(scored: DataFrame, threshold: float) -> DataFrame:

@@ -60,7 +60,9 @@ def offline_reviewer(prompt: str) -> str:
     raw = prompt[prompt.find("{") :]
     packet = json.loads(raw[: raw.rfind("}") + 1])
     bad = any(w in prompt.lower() for w in ("error", "fail", "fatal"))
-    return json.dumps({"packet_id": packet["packet_id"], "review_decision": "likely_anomaly" if bad else "likely_normal", "recommended_action": "inspect_event" if bad else "ignore", "confidence": 0.8, "reason_codes": ["failure_semantics" if bad else "benign_semantics"], "evidence": [], "explanation": "by words"})
+    answer = {"packet_id": packet["packet_id"], "review_decision": "likely_anomaly" if bad else "likely_normal", "severity": "medium" if bad else "low", "confidence": 0.8, "recommended_action": "inspect_event" if bad else "ignore"}
+    answer |= {"reason_codes": ["sequence_context" if bad else "benign_repetition"], "rationale": "judged by words", "suspicious_evidence": [], "benign_evidence": [], "needs_more_context": False}
+    return json.dumps(answer)
 
 
 def review(prompts: DataFrame, reviewer: Callable[[str], str] = dry_run, cache: DataFrame | None = None) -> DataFrame:

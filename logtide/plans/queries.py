@@ -50,14 +50,15 @@ def flagged(spark, d):
 
 
 def event_table(spark, d):
-    return K.event_candidates(members(spark, d), flagged(spark, d))
+    own = features(spark, d)
+    return K.event_candidates(members(spark, d), X.ensemble(X.gev_scores(own)).select("window_id", "is_suspicious", "max_excess", "max_score").join(own.drop("window_label", "num_anomalous"), "window_id"))
 
 
 def scored_events(spark, d):
-    """The stream with a burst count and bigram surprise; its position orders it."""
+    """The stream with the unseen-or-new run in its block that holds each row, and bigram surprise; its position orders it."""
     s = stream(spark, d).withColumn("pos", F.col("i"))
-    per = s.groupBy("block_id", "template").agg(F.count("*").cast("double").alias("template_burst_score"))
-    return K.markov_surprise(s, 2).join(per, ["block_id", "template"])
+    runs = X.burst_runs(s, "block_id").select("event_id", F.col("burst").cast("double").alias("template_burst_score"))
+    return K.markov_surprise(s, 2).join(runs, "event_id")
 
 
 @query
@@ -151,8 +152,7 @@ def template_deviation(spark, d):
 
 @query
 def sequence_context(spark, d):
-    cols = ["window_id", "event_id", "prev_novelty", "next_novelty", "neighbor_max", "neighbor_mean", "neighbor_unseen", "neighbor_new", "template_switches", "prev_same", "next_same", "relative_position", "edge_distance", "context_score"]
-    return rounded(K.sequence_context(members(spark, d)).select(*cols))
+    return rounded(K.sequence_context(members(spark, d)).select("window_id", "event_id", *K.CONTEXT))
 
 
 @query
@@ -344,15 +344,22 @@ def cosine_topk(spark, d):
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")).cast("long")).where("rank <= 5")
 
 
-#: Terms of the keyword semantics.
-TERMS = {"failure": ("error", "fail", "fatal", "panic"), "corrected": ("corrected", "recovered"), "user": ("click", "login", "purchase"), "read": ("view", "search")}
+# Terms looked for in a row's template and message, by group, and those of a failure.
+TERMS = {
+    "failure_terms": ("fail", "failed", "failure", "fatal", "error", "exception"),
+    "communication_terms": ("socket", "connection", "link", "network", "control stream"),
+    "filesystem_terms": ("mount", "read", "write", "filesystem", "file system", "io"),
+    "hardware_terms": ("machine check", "corrected", "uncorrected", "memory", "processor", "hardware"),
+}
+FAILURE_TERMS = ("fail", "failed", "failure", "fatal", "error", "exception", "uncorrected", "severed")
 
 
 @query
 def keyword_semantics(spark, d):
-    low = F.lower("message")
-    any_of = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
-    return logs(spark, d).select("event_id", *(any_of(t).alias(f"has_{n}") for n, t in TERMS.items()), (any_of(TERMS["failure"]) & ~any_of(TERMS["corrected"])).alias("failure_like_text"))
+    """The terms of each group that a row holds, comma-joined; whether it tells of a failure or of something corrected."""
+    low = F.lower(F.concat_ws(" ", F.coalesce("template", F.lit("")), F.coalesce("message", F.lit(""))))
+    found = lambda terms: F.array_join(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)), ",")
+    return logs(spark, d).select("event_id", *(found(t).alias(n) for n, t in TERMS.items()), (F.contains(low, F.lit("corrected")) & ~F.contains(low, F.lit("uncorrected"))).alias("explicitly_corrected"), (found(FAILURE_TERMS) != "").alias("failure_like_text"))
 
 
 @query
@@ -364,10 +371,12 @@ def cluster_packets(spark, d):
 
 @query
 def neighbor_examples(spark, d):
-    """Ids of the two rows before and behind each anomaly in stream order."""
-    w = Window.partitionBy("block_id").orderBy("event_order")
-    x = logs(spark, d).select("event_id", "label", *(F.lag("event_id", k).over(w).alias(f"before_{k}") for k in (1, 2)), *(F.lead("event_id", k).over(w).alias(f"behind_{k}") for k in (1, 2)))
-    return x.where("label = 1").drop("label")
+    """Ids of the two rows before and behind each anomaly in stream order, across blocks: an equality join on the dense position."""
+    x = logs(spark, d)
+    around = x.where("label = 1").select("event_id", F.explode(F.expr("transform(array(-2, -1, 1, 2), k -> struct(k as k, event_order + k as event_order))")).alias("n")).select("event_id", "n.k", "n.event_order")
+    near = around.join(x.select("event_order", F.col("event_id").alias("other")), "event_order", "left")
+    at = lambda k, name: F.max(F.when(F.col("k") == k, F.col("other"))).alias(name)
+    return near.groupBy("event_id").agg(at(-1, "before_1"), at(-2, "before_2"), at(1, "behind_1"), at(2, "behind_2"))
 
 
 @query
@@ -479,7 +488,7 @@ def pot_per_window(spark, d):
     return rounded(pot.per_window_pot(members(spark, d), "rarity_score"))
 
 
-_MODEL = ["novelty_score", "rarity_score", "event_burst", "template_burst_score", "template_count_deviation_score", "local_sequence_context_score"]
+_MODEL = ["novelty_score", "rarity_score", "max_template_count_in_window", "template_burst_score", "template_count_deviation_score", "local_sequence_context_score"]
 
 
 def _model_rows(spark, d):

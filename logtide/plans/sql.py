@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+_CONTEXT = (
+    "prev_event_novelty_score next_event_novelty_score neighbor_max_novelty_score neighbor_mean_novelty_score local_unseen_count_radius2 local_new_template_count_radius2 local_template_switch_count_radius2 "
+    "prev_template_same next_template_same relative_position_in_window distance_to_window_edge_ratio local_sequence_context_score"
+).split()
 _PARTS: dict[str, tuple[str, str]] = {
     "logs": ("", """SELECT event_id AS event_order, event_id, ts, concat(event_type, ' user ', user_id, ' value ', CAST(value AS DECIMAL(18,2)), ' props ', props) AS message,
       CASE WHEN event_type = 'error' AND value >= 200 THEN 1 ELSE 0 END AS label, concat(event_type, ' k', CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 10, ' v', CAST(floor(value / 20) AS BIGINT)) AS template, event_id // 1000 AS block_id FROM events"""),
@@ -33,17 +37,24 @@ _PARTS: dict[str, tuple[str, str]] = {
     "bursts": ("members", "SELECT * EXCLUDE (o, island), CASE WHEN o = 1 THEN sum(o) OVER (PARTITION BY window_id, island) ELSE 0 END AS burst FROM (SELECT *, sum(1 - o) OVER (PARTITION BY window_id ORDER BY event_order) AS island FROM (SELECT *, (unseen OR is_new)::INT AS o FROM members))"),
     "deviations": ("per", """SELECT window_id, template, c AS cnt, seen_windows, coalesce(m, 0) AS past_mean, coalesce(s, 0) AS past_std, CASE WHEN seen_windows > 0 AND coalesce(s, 0) > 1e-12 THEN (c - m) / s ELSE 0 END AS past_z, CASE WHEN seen_windows > 0 THEN c / (m + 1) ELSE c END AS ratio, CASE WHEN seen_windows > 0 THEN c - m ELSE c END AS excess FROM (SELECT window_id, template, c, count(*) OVER w AS seen_windows, avg(c) OVER w AS m, stddev_pop(c) OVER w AS s FROM per WINDOW w AS (PARTITION BY template ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""),
     "deviated": ("deviations", "SELECT *, CASE WHEN seen_windows > 0 THEN greatest(0, past_z) + ln(1 + greatest(0, ratio)) ELSE ln(1 + cnt) END AS deviation_score FROM deviations"),
-    "ctx": ("members", """SELECT *, neighbor_max + neighbor_unseen + neighbor_new + template_switches + 1 - greatest(prev_same, next_same) AS context_score FROM (SELECT window_id, event_id, event_order, template, coalesce(lag(novelty_score) OVER w, 0) AS prev_novelty, coalesce(lead(novelty_score) OVER w, 0) AS next_novelty,
-      coalesce(greatest(max(novelty_score) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), max(novelty_score) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)), 0) AS neighbor_max,
-      CASE WHEN count(*) OVER c > 1 THEN (sum(novelty_score) OVER c - novelty_score) / (count(*) OVER c - 1) ELSE 0 END AS neighbor_mean, CAST(sum(unseen::INT) OVER c - unseen::INT AS BIGINT) AS neighbor_unseen, CAST(sum(is_new::INT) OVER c - is_new::INT AS BIGINT) AS neighbor_new,
-      CAST(sum(sw) OVER (w ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS template_switches, CAST(coalesce((lag(template) OVER w = template)::INT, 0) AS BIGINT) AS prev_same, CAST(coalesce((lead(template) OVER w = template)::INT, 0) AS BIGINT) AS next_same,
-      CASE WHEN k > 1 THEN p * 1.0::DOUBLE / (k - 1) ELSE 0 END AS relative_position, least(p, k - 1 - p) * 1.0::DOUBLE / greatest(1, k - 1) AS edge_distance
+    "ctx": ("members", """SELECT *, neighbor_max_novelty_score + local_unseen_count_radius2 + local_new_template_count_radius2 + local_template_switch_count_radius2 + 1 - greatest(prev_template_same, next_template_same) AS local_sequence_context_score
+      FROM (SELECT window_id, event_id, event_order, template, coalesce(lag(novelty_score) OVER w, 0) AS prev_event_novelty_score, coalesce(lead(novelty_score) OVER w, 0) AS next_event_novelty_score,
+      coalesce(list_max(list_filter([lag(novelty_score, 1) OVER w, lag(novelty_score, 2) OVER w, lead(novelty_score, 1) OVER w, lead(novelty_score, 2) OVER w], lambda x: x IS NOT NULL)), 0) AS neighbor_max_novelty_score,
+      CASE WHEN count(*) OVER c > 1 THEN (sum(novelty_score) OVER c - novelty_score) / (count(*) OVER c - 1) ELSE 0 END AS neighbor_mean_novelty_score,
+      CAST(count_if(unseen) OVER c AS BIGINT) AS local_unseen_count_radius2, CAST(count_if(is_new) OVER c AS BIGINT) AS local_new_template_count_radius2,
+      CAST(sum(sw) OVER (w ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS local_template_switch_count_radius2, CAST(coalesce((lag(template) OVER w = template)::INT, 0) AS BIGINT) AS prev_template_same, CAST(coalesce((lead(template) OVER w = template)::INT, 0) AS BIGINT) AS next_template_same,
+      CASE WHEN k > 1 THEN p * 1.0::DOUBLE / (k - 1) ELSE 0 END AS relative_position_in_window, CASE WHEN k > 1 THEN least(p, k - 1 - p) / ((k - 1) / 2.0::DOUBLE) ELSE 0 END AS distance_to_window_edge_ratio
       FROM (SELECT *, CASE WHEN lag(template) OVER (PARTITION BY window_id ORDER BY event_order) <> template THEN 1 ELSE 0 END AS sw, row_number() OVER (PARTITION BY window_id ORDER BY event_order) - 1 AS p, count(*) OVER (PARTITION BY window_id) AS k FROM members)
       WINDOW w AS (PARTITION BY window_id ORDER BY event_order), c AS (PARTITION BY window_id ORDER BY event_order ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""),
-    "ctx_flagged": ("ctx flagged", "SELECT c.*, max_excess FROM ctx c JOIN flagged f USING (window_id) WHERE is_suspicious"),
-    "cands": ("ctx_flagged bursts deviated", """SELECT m.event_id, any_value(m.event_order) AS event_order, any_value(m.block_id) AS block_id, CAST(max(m.label) AS BIGINT) AS label, any_value(m.template) AS template, any_value(m.message) AS message, count(*) AS suspicious_window_count,
-      greatest(0, max(max_excess)) AS gev_excess, greatest(0, max(novelty_score)) AS novelty_score, greatest(0, max(rarity_score)) AS rarity_score, greatest(0, CAST(max(burst) AS DOUBLE)) AS event_burst, greatest(0, CAST(max(cnt) AS DOUBLE)) AS template_burst_score, greatest(0, max(deviation_score)) AS template_count_deviation_score, greatest(0, max(past_z)) AS template_count_past_z, greatest(0, max(context_score)) AS local_sequence_context_score
-      FROM bursts m JOIN ctx_flagged c USING (window_id, event_id) JOIN deviated d ON m.window_id = d.window_id AND m.template = d.template GROUP BY m.event_id"""),
+    "ctx_flagged": ("ctx flagged features scores", """SELECT c.* EXCLUDE (event_order, template), f.max_excess, g.max_score, t.num_records, t.template_entropy, t.rare_template_ratio, t.unseen_template_ratio, t.new_template_ratio, t.mean_novelty_score
+      FROM ctx c JOIN flagged f USING (window_id) JOIN features t USING (window_id) JOIN (SELECT window_id, max(value) AS max_score FROM scores GROUP BY window_id) g USING (window_id) WHERE f.is_suspicious"""),
+    "cands": ("ctx_flagged bursts deviated", "SELECT m.event_id, any_value(m.event_order) AS event_order, any_value(m.block_id) AS block_id, CAST(max(m.label) AS BIGINT) AS label, any_value(m.template) AS template, any_value(m.message) AS message, count(*) AS suspicious_window_count, "
+      + ", ".join(f"greatest(0, max(CAST({c} AS DOUBLE))) AS {name}" for c, name in {
+        "novelty_score": "novelty_score", "rarity_score": "rarity_score", "ln(1 + historical_count)": "historical_count_log", "unseen::INT": "unseen_in_history", "rare::INT": "historically_rare", "is_new::INT": "is_new_template", "burst": "template_burst_score",
+        **{f"c.{n}": n for n in _CONTEXT}, "c.max_score": "max_window_gev_score", "c.max_excess": "max_window_gev_excess", "c.template_entropy": "max_window_template_entropy", "c.rare_template_ratio": "max_window_rare_template_ratio", "c.unseen_template_ratio": "max_window_unseen_template_ratio",
+        "c.new_template_ratio": "max_window_new_template_ratio", "c.mean_novelty_score": "max_window_mean_event_novelty_score", "cnt": "max_template_count_in_window", "cnt / c.num_records": "max_template_ratio_in_window", "past_mean": "template_count_past_mean", "past_std": "template_count_past_std",
+        "past_z": "template_count_past_z", "ratio": "template_count_past_ratio", "excess": "template_count_past_excess", "seen_windows": "template_count_seen_windows", "deviation_score": "template_count_deviation_score"}.items())
+      + " FROM bursts m JOIN ctx_flagged c USING (window_id, event_id) JOIN deviated d ON m.window_id = d.window_id AND m.template = d.template GROUP BY m.event_id"),
     "anoms": ("logs", "SELECT * FROM logs WHERE label = 1"),
     "bounds": ("logs", "SELECT block_id, min(event_order) AS block_start, max(event_order) AS block_end FROM logs GROUP BY block_id"),
     "surprises": ("stream", ""),
@@ -61,8 +72,8 @@ def _markov(order: int) -> str:
 
 _PARTS["surprises"] = ("stream", _markov(2))
 _PARTS["surprises3"] = ("stream", _markov(3))
-_PARTS["burst_counts"] = ("stream", "SELECT block_id, template, CAST(count(*) AS DOUBLE) AS template_burst_score FROM stream GROUP BY ALL")
-_PARTS["scored"] = ("surprises burst_counts", "SELECT s.*, b.template_burst_score FROM surprises s JOIN burst_counts b USING (block_id, template)")
+_PARTS["block_runs"] = ("stream", "SELECT event_id, CASE WHEN o = 1 THEN CAST(sum(o) OVER (PARTITION BY block_id, island) AS DOUBLE) ELSE 0 END AS template_burst_score FROM (SELECT *, sum(1 - o) OVER (PARTITION BY block_id ORDER BY event_order) AS island FROM (SELECT *, (unseen OR is_new)::INT AS o FROM stream))")
+_PARTS["scored"] = ("surprises block_runs", "SELECT s.*, b.template_burst_score FROM surprises s JOIN block_runs b USING (event_id)")
 _PARTS["calib"] = ("scored", "SELECT quantile_cont(template_burst_score, 0.98) AS qb, quantile_cont(novelty_score, 0.98) AS qn, quantile_cont(surprise, 0.98) AS qs FROM scored WHERE i < (SELECT greatest(1, floor(count(*) * 0.2)) FROM scored)")
 _PARTS["seeds"] = ("scored calib", "SELECT * FROM (SELECT *, concat_ws(',', CASE WHEN novelty_score >= qn THEN 'dense_novelty' END, CASE WHEN template_burst_score >= qb THEN 'dense_template_burst' END, CASE WHEN surprise >= qs THEN 'diversity_markov_bigram' END) AS trigger_reasons FROM scored, calib) WHERE trigger_reasons <> ''")
 _PARTS["incidents"] = ("seeds", """SELECT block_id, start_order, end_order, seed_events, templates, array_to_string(list_sort(list_distinct(string_split(r, ','))), ',') AS trigger_reasons, max_burst, max_novelty, greatest(0, start_order - 10) AS interval_start, end_order + 10 AS interval_end FROM (
@@ -113,6 +124,10 @@ def _r(cols: str, digits: int = 6) -> str:
 
 
 _FEATURES = "window_id num_records unique_templates ~unique_template_ratio ~template_entropy max_cluster_size ~mean_cluster_size ~max_cluster_ratio new_template_count ~new_template_ratio rare_template_count ~rare_template_ratio unseen_template_count ~unseen_template_ratio ~max_novelty_score ~mean_novelty_score ~var_novelty_score ~max_rarity_score ~mean_rarity_score ~var_rarity_score first_order last_order num_labeled num_anomalous window_label ~novelty_magnitude_score"
+_TERMS = {
+    "failure_terms": ("fail", "failed", "failure", "fatal", "error", "exception"), "communication_terms": ("socket", "connection", "link", "network", "control stream"),
+    "filesystem_terms": ("mount", "read", "write", "filesystem", "file system", "io"), "hardware_terms": ("machine check", "corrected", "uncorrected", "memory", "processor", "hardware"),
+}
 _RANK = "template_burst_score DESC, template_count_deviation_score DESC, novelty_score DESC, rarity_score DESC, event_order, event_id"
 _MASKED = "concat(event_type, ' user <:NUM:> value <:NUM:>.<:NUM:> props {\"k\": <:NUM:>}')"
 _ORACLE = {
@@ -135,8 +150,8 @@ SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS rec
     "burst_runs": ("bursts", "SELECT window_id, event_id, CAST(burst AS BIGINT) AS burst FROM bursts"),
     "past_z": ("logs", """SELECT window_id, num_records, round(CASE WHEN n < 3 OR s < 1e-12 THEN 0 ELSE (x - m) / s END, 5) AS past_z FROM (SELECT *, count(*) OVER w AS n, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM (SELECT dense_rank() OVER (ORDER BY slot) - 1 AS window_id, num_records, ln(1 + num_records) AS x FROM (SELECT CAST(floor((epoch_us(ts) - t0) / 1e6 / 21600) AS BIGINT) AS slot, count(*) AS num_records FROM logs, (SELECT min(epoch_us(ts)) AS t0 FROM logs) GROUP BY slot)) WINDOW w AS (ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""),
     "template_deviation": ("deviated", f"SELECT {_r('window_id template cnt seen_windows ~past_mean ~past_std ~past_z ~ratio ~excess ~deviation_score')} FROM deviated"),
-    "sequence_context": ("ctx", f"SELECT {_r('window_id event_id ~prev_novelty ~next_novelty ~neighbor_max ~neighbor_mean neighbor_unseen neighbor_new template_switches prev_same next_same ~relative_position ~edge_distance ~context_score')} FROM ctx"),
-    "event_candidates": ("cands", f"SELECT {_r('event_id event_order block_id label template suspicious_window_count ~gev_excess ~novelty_score ~rarity_score ~event_burst ~template_burst_score ~template_count_deviation_score ~template_count_past_z ~local_sequence_context_score', 5)} FROM cands"),
+    "sequence_context": ("ctx", f"SELECT {_r('window_id event_id ~' + ' ~'.join(_CONTEXT[:4]) + ' ' + ' '.join(_CONTEXT[4:9]) + ' ~' + ' ~'.join(_CONTEXT[9:]))} FROM ctx"),
+    "event_candidates": ("cands", "SELECT event_id, event_order, block_id, label, template, suspicious_window_count, round(COLUMNS(* EXCLUDE (event_id, event_order, block_id, label, template, message, suspicious_window_count)), 5) FROM cands"),
     "markov_bigram": ("surprises", "SELECT event_id, round(surprise, 6) AS surprise FROM surprises"),
     "markov_trigram": ("surprises3", "SELECT event_id, round(surprise, 6) AS surprise FROM surprises3"),
     "rank_topk_burst": ("cands", f"SELECT row_number() OVER (ORDER BY {_RANK}) AS rank, event_id, template, round(template_burst_score, 6) AS score FROM cands QUALIFY rank <= 100"),
@@ -171,9 +186,10 @@ SELECT intervals, length, covered, anomalies, round(length / events, 6) AS strea
     "prefix_sample": ("logs", "SELECT event_id, template, label FROM logs ORDER BY event_order LIMIT 500"),
     "multi_block_sample": ("logs", "SELECT row_number() OVER (ORDER BY event_order) AS row_id, event_id, event_order // 1000 AS range_id FROM logs WHERE event_order // 250 % 4 = 1"),
     "cosine_topk": ("logs", "SELECT query_id, vec_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) QUALIFY rank <= 5"),
-    "keyword_semantics": ("logs", """SELECT event_id, regexp_matches(m, 'error|fail|fatal|panic') AS has_failure, regexp_matches(m, 'corrected|recovered') AS has_corrected, regexp_matches(m, 'click|login|purchase') AS has_user, regexp_matches(m, 'view|search') AS has_read, regexp_matches(m, 'error|fail|fatal|panic') AND NOT regexp_matches(m, 'corrected|recovered') AS failure_like_text FROM (SELECT event_id, lower(message) AS m FROM logs)"""),
+    "keyword_semantics": ("logs", f"""SELECT event_id, {', '.join(f"array_to_string(list_filter({list(t)}, lambda t: contains(m, t)), ',') AS {n}" for n, t in _TERMS.items())}, contains(m, 'corrected') AND NOT contains(m, 'uncorrected') AS explicitly_corrected,
+      len(list_filter(['fail', 'failed', 'failure', 'fatal', 'error', 'exception', 'uncorrected', 'severed'], lambda t: contains(m, t))) > 0 AS failure_like_text FROM (SELECT event_id, lower(template || ' ' || message) AS m FROM logs)"""),
     "cluster_packets": ("cands", f"SELECT template, count(*) AS events, count(DISTINCT block_id) AS blocks, min(rank) AS best_rank, round(max(template_burst_score), 6) AS burst_max, round(avg(template_burst_score), 6) AS burst_mean, array_to_string(list_sort(list(rank))[1:3], ',') AS best_ranks FROM (SELECT *, row_number() OVER (ORDER BY template_count_deviation_score DESC, {_RANK}) AS rank FROM cands) WHERE rank <= 200 GROUP BY template ORDER BY best_rank, events DESC LIMIT 20"),
-    "neighbor_examples": ("logs", "SELECT * EXCLUDE (label) FROM (SELECT event_id, label, lag(event_id, 1) OVER w AS before_1, lag(event_id, 2) OVER w AS before_2, lead(event_id, 1) OVER w AS behind_1, lead(event_id, 2) OVER w AS behind_2 FROM logs WINDOW w AS (PARTITION BY block_id ORDER BY event_order)) WHERE label = 1"),
+    "neighbor_examples": ("logs", "SELECT * EXCLUDE (label) FROM (SELECT event_id, label, lag(event_id, 1) OVER w AS before_1, lag(event_id, 2) OVER w AS before_2, lead(event_id, 1) OVER w AS behind_1, lead(event_id, 2) OVER w AS behind_2 FROM logs WINDOW w AS (ORDER BY event_order)) WHERE label = 1"),
     "same_template_examples": ("logs", "SELECT event_id, coalesce(e, '') AS earlier FROM (SELECT event_id, label, string_agg(CAST(event_id AS VARCHAR), ',') OVER (PARTITION BY template ORDER BY event_order ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS e FROM logs) WHERE label = 1"),
     "resource_metrics": ("logs", """, one AS (SELECT user_id AS packet_id, CAST(trunc(value * 10) AS BIGINT) AS latency_ms, event_id % 7 = 0 AS cache_hit FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1), fresh AS (SELECT *, row_number() OVER (ORDER BY latency_ms, packet_id) - 1 AS k, count(*) OVER () AS n FROM one WHERE NOT cache_hit)
 SELECT (SELECT count(*) FROM one) AS packets, (SELECT CAST(count_if(cache_hit) AS BIGINT) FROM one) AS cache_hits, (SELECT CAST(sum(latency_ms) AS BIGINT) FROM one) AS total_ms, (SELECT round(avg(latency_ms), 6) FROM fresh) AS mean_latency, (SELECT max(latency_ms) FROM fresh WHERE k = round_even((n - 1) * 0.95::DOUBLE, 0)) AS p95_latency"""),

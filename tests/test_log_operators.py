@@ -135,13 +135,13 @@ def test_ordinal(spark):
 
 
 def test_json_answers():
-    good = {"packet_id": "p", "review_decision": "likely_anomaly", "recommended_action": "inspect_event", "confidence": 0.5, "reason_codes": ["template_burst_score", "novelty_score", "rarity_score", "template_burst"], "evidence": ["a } b"], "explanation": "x"}
+    good = {"packet_id": "p", "review_decision": "likely_anomaly", "recommended_action": "inspect_event", "confidence": 0.5, "reason_codes": ["template_burst_score", "novelty_score", "rarity_score", "template_burst"], "severity": "low", "suspicious_evidence": ["a } b"], "benign_evidence": [], "needs_more_context": False, "rationale": "x"}
     import json
 
     answer, wrong = reviews.parse(f"prefix\n{json.dumps(good)}\ntrailing }}", "p")
     assert not wrong and answer["reason_codes"] == ["template_burst", "novel_template", "rare_template"]
     assert reviews.normalise({"review_decision": "likely_normal", "recommended_action": "inspect_template_cluster"})["recommended_action"] == "ignore"
-    assert len(reviews.errors({**good, "packet_id": "q", "review_decision": "?", "explanation": "ground truth"}, "p")) >= 3
+    assert len(reviews.errors({**good, "packet_id": "q", "review_decision": "?", "rationale": "ground truth"}, "p")) >= 3
     assert reviews.parse("no answer", "p") == (None, ["no JSON object"])
     assert reviews.first_json_object('{"a": "\\"}"}') == '{"a": "\\"}"}'
 

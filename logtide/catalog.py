@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .plans import modelling
 from .plans.queries import QUERIES
-from .plans.sql import ORACLE
+from .plans.sql import ORACLE, compose
 
 
 def queries() -> dict:
@@ -11,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(ORACLE) | {name: compose(parts, final) for name, (parts, final) in modelling.SQL.items()}

@@ -47,6 +47,7 @@ def sequence_context(members: DataFrame) -> DataFrame:
     x = members.withColumn("_t", F.coalesce("template", F.lit(UNKNOWN)))
     x = x.withColumn("_sw", F.when(F.lag("_t").over(w) != template, 1).otherwise(0)).withColumn("_pos", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("window_id")))
     others = F.count("*").over(near) - 1
+    beside = sum((F.coalesce(n, F.lit(0.0)) for n in (F.lag("novelty_score", 2).over(w), F.lag("novelty_score", 1).over(w), F.lead("novelty_score", 1).over(w), F.lead("novelty_score", 2).over(w))), F.lit(0.0))
     count = lambda c: F.sum(F.col(c).cast("long")).over(near)
     same = lambda other: F.coalesce((other == template).cast("long"), F.lit(0))
     last = F.col("_n") - 1
@@ -55,7 +56,7 @@ def sequence_context(members: DataFrame) -> DataFrame:
         F.coalesce(F.lag("novelty_score").over(w), F.lit(0.0)).alias("prev_event_novelty_score"),
         F.coalesce(F.lead("novelty_score").over(w), F.lit(0.0)).alias("next_event_novelty_score"),
         F.coalesce(F.greatest(F.max(nov).over(before), F.max(nov).over(behind)), F.lit(0.0)).alias("neighbor_max_novelty_score"),
-        F.when(others > 0, (F.sum(nov).over(near) - nov) / others).otherwise(0.0).alias("neighbor_mean_novelty_score"),
+        F.when(others > 0, beside / others).otherwise(0.0).alias("neighbor_mean_novelty_score"),
         count("unseen").alias("local_unseen_count_radius2"),
         count("is_new").alias("local_new_template_count_radius2"),
         F.sum("_sw").over(w.rowsBetween(-1, 2)).alias("local_template_switch_count_radius2"),

@@ -68,11 +68,13 @@ def run(spark: SparkSession, settings: Settings) -> dict[str, DataFrame]:
     if settings.mode == "group":
         groups = W.group_windows(stream, settings.group_key).select(settings.group_key, "window_id")
         members = stream.join(groups, settings.group_key)
+    elif settings.mode == "time":
+        members = W.time_windows(stream, settings.hours, settings.stride_hours)
     else:
         members = W.count_windows(stream, settings.size, settings.stride)
     features = W.window_features(members)
     windows = X.ensemble(X.gev_scores(features, settings.statistics, settings.alpha))
-    out = {"members": members, "features": features, "windows": windows, "candidates": K.event_candidates(members, windows), "evaluation": X.evaluate_windows(windows, members)}
+    out = {"members": members, "features": features, "windows": windows, "candidates": K.event_candidates(members, windows.drop("window_label", "num_anomalous").join(features, "window_id")), "evaluation": X.evaluate_windows(windows, members)}
     if settings.pot_enabled:
         try:
             fit = pot.global_pot(members, settings.pot_score, settings.pot_quantile, settings.pot_tail)

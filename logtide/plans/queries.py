@@ -157,7 +157,9 @@ def sequence_context(spark, d):
 
 @query
 def event_candidates(spark, d):
-    return rounded(event_table(spark, d).drop("message"), 5)
+    """All features; those that come from the fitted law to fewer places."""
+    fitted = ("max_window_gev_score", "max_window_gev_excess")
+    return rounded(event_table(spark, d).drop("message").withColumns({c: F.round(c, 5) for c in fitted}), 8)
 
 
 @query

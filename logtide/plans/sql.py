@@ -40,7 +40,7 @@ _PARTS: dict[str, tuple[str, str]] = {
     "ctx": ("members", """SELECT *, neighbor_max_novelty_score + local_unseen_count_radius2 + local_new_template_count_radius2 + local_template_switch_count_radius2 + 1 - greatest(prev_template_same, next_template_same) AS local_sequence_context_score
       FROM (SELECT window_id, event_id, event_order, template, coalesce(lag(novelty_score) OVER w, 0) AS prev_event_novelty_score, coalesce(lead(novelty_score) OVER w, 0) AS next_event_novelty_score,
       coalesce(list_max(list_filter([lag(novelty_score, 1) OVER w, lag(novelty_score, 2) OVER w, lead(novelty_score, 1) OVER w, lead(novelty_score, 2) OVER w], lambda x: x IS NOT NULL)), 0) AS neighbor_max_novelty_score,
-      CASE WHEN count(*) OVER c > 1 THEN (sum(novelty_score) OVER c - novelty_score) / (count(*) OVER c - 1) ELSE 0 END AS neighbor_mean_novelty_score,
+      CASE WHEN count(*) OVER c > 1 THEN (coalesce(lag(novelty_score, 2) OVER w, 0) + coalesce(lag(novelty_score, 1) OVER w, 0) + coalesce(lead(novelty_score, 1) OVER w, 0) + coalesce(lead(novelty_score, 2) OVER w, 0)) / (count(*) OVER c - 1) ELSE 0 END AS neighbor_mean_novelty_score,
       CAST(count_if(unseen) OVER c AS BIGINT) AS local_unseen_count_radius2, CAST(count_if(is_new) OVER c AS BIGINT) AS local_new_template_count_radius2,
       CAST(sum(sw) OVER (w ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS local_template_switch_count_radius2, CAST(coalesce((lag(template) OVER w = template)::INT, 0) AS BIGINT) AS prev_template_same, CAST(coalesce((lead(template) OVER w = template)::INT, 0) AS BIGINT) AS next_template_same,
       CASE WHEN k > 1 THEN p * 1.0::DOUBLE / (k - 1) ELSE 0 END AS relative_position_in_window, CASE WHEN k > 1 THEN least(p, k - 1 - p) / ((k - 1) / 2.0::DOUBLE) ELSE 0 END AS distance_to_window_edge_ratio
@@ -151,7 +151,7 @@ SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS rec
     "past_z": ("logs", """SELECT window_id, num_records, round(CASE WHEN n < 3 OR s < 1e-12 THEN 0 ELSE (x - m) / s END, 5) AS past_z FROM (SELECT *, count(*) OVER w AS n, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM (SELECT dense_rank() OVER (ORDER BY slot) - 1 AS window_id, num_records, ln(1 + num_records) AS x FROM (SELECT CAST(floor((epoch_us(ts) - t0) / 1e6 / 21600) AS BIGINT) AS slot, count(*) AS num_records FROM logs, (SELECT min(epoch_us(ts)) AS t0 FROM logs) GROUP BY slot)) WINDOW w AS (ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""),
     "template_deviation": ("deviated", f"SELECT {_r('window_id template cnt seen_windows ~past_mean ~past_std ~past_z ~ratio ~excess ~deviation_score')} FROM deviated"),
     "sequence_context": ("ctx", f"SELECT {_r('window_id event_id ~' + ' ~'.join(_CONTEXT[:4]) + ' ' + ' '.join(_CONTEXT[4:9]) + ' ~' + ' ~'.join(_CONTEXT[9:]))} FROM ctx"),
-    "event_candidates": ("cands", "SELECT event_id, event_order, block_id, label, template, suspicious_window_count, round(COLUMNS(* EXCLUDE (event_id, event_order, block_id, label, template, message, suspicious_window_count)), 5) FROM cands"),
+    "event_candidates": ("cands", "SELECT event_id, event_order, block_id, label, template, suspicious_window_count, round(max_window_gev_score, 5) AS max_window_gev_score, round(max_window_gev_excess, 5) AS max_window_gev_excess, round(COLUMNS(* EXCLUDE (event_id, event_order, block_id, label, template, message, suspicious_window_count, max_window_gev_score, max_window_gev_excess)), 8) FROM cands"),
     "markov_bigram": ("surprises", "SELECT event_id, round(surprise, 6) AS surprise FROM surprises"),
     "markov_trigram": ("surprises3", "SELECT event_id, round(surprise, 6) AS surprise FROM surprises3"),
     "rank_topk_burst": ("cands", f"SELECT row_number() OVER (ORDER BY {_RANK}) AS rank, event_id, template, round(template_burst_score, 6) AS score FROM cands QUALIFY rank <= 100"),

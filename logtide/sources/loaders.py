@@ -135,3 +135,8 @@ def multi_block_sample(numbered: DataFrame, starts: list[int], size: int) -> Dat
     from pyspark.sql import Window
 
     return x.withColumn("row_id", F.col("range_id") * size + F.row_number().over(Window.partitionBy("range_id").orderBy("line_number"))).drop("lo", "hi")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; a line that is no JSON object of the schema stops the read and is named."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -71,8 +71,8 @@ def _depth(tree, x: np.ndarray, depth: int = 0) -> np.ndarray:
 
 
 def isolation_forest_scores(normal: DataFrame, test: DataFrame, columns: list[str], trees: int = 200, rows: int = 256, seed: int = 7) -> DataFrame:
-    """Isolation forest (Liu et al., 2008): each tree sees at most ``rows`` rows of a bounded hash sample; adds ``score``, larger is odder."""
-    sample = _typed(normal, columns).select(*columns, F.xxhash64(*columns).alias("h")).orderBy("h").limit(rows * 40).select(*columns).toPandas().to_numpy(float)
+    """Isolation forest (Liu et al., 2008): each tree sees at most ``rows`` rows of a bounded sample, drawn by a hash of ``event_id``; adds ``score``, larger is odder."""
+    sample = _typed(normal, columns).select(*columns, F.xxhash64("event_id").alias("h")).orderBy("h").limit(rows * 40).select(*columns).toPandas().to_numpy(float)
     sample = np.nan_to_num(sample)
     rng = np.random.default_rng(seed)
     size = min(rows, len(sample))

@@ -40,9 +40,13 @@ def match_reference(lines: DataFrame, miner: Drain, full_search: bool = True) ->
     return lines.select("event_id", "message").mapInPandas(run, "event_id long, matched_cluster_id long, matched_template string, is_known_template boolean")
 
 
-def warm(history: DataFrame, limit: int = 200_000, **settings) -> Drain:
-    """A miner that has learnt the first ``limit`` history lines, in order (a documented bound: order makes this serial)."""
+def warm(history: DataFrame, limit: int | None = None, **settings) -> Drain:
+    """A miner that has learnt all history lines in order, or the first ``limit``.
+
+    Order makes this serial: lines stream through the driver, which holds the miner's clusters alone.
+    """
     miner = Drain(**settings)
-    for r in history.orderBy("event_order").limit(limit).select("message").toLocalIterator():
+    ordered = history.orderBy("event_order")
+    for r in (ordered if limit is None else ordered.limit(limit)).select("message").toLocalIterator():
         miner.add(r.message or "")
     return miner

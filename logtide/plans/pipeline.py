@@ -28,6 +28,8 @@ class Settings:
     size: int = 100
     stride: int = 50
     mode: str = "count"
+    hours: float = 6.0
+    stride_hours: float = 3.0
     group_key: str = "block_id"
     mine_by: str | None = None
     alpha: float = 0.9

@@ -198,18 +198,22 @@ def cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.append(begin[1:], len(keys))
 
 
-def whole_cells(it, decide):
-    """Calls ``decide`` with the columns of whole cells; rows come sorted by their first column, the cell."""
+def whole_cells(it, decide, rows: int = 1 << 16):
+    """Calls ``decide`` with the columns of whole cells, about ``rows`` at a time; rows come sorted by their first column, the cell."""
     held: list[list[np.ndarray]] = []
+    waiting = 0
     for batch in it:
         if not batch.num_rows:
             continue
-        now = [c.to_numpy() for c in batch.columns]
+        held.append([c.to_numpy() for c in batch.columns])
+        waiting += batch.num_rows
+        if waiting < rows or held[0][0][0] == held[-1][0][-1]:
+            continue
+        now = [np.concatenate(x) for x in zip(*held, strict=True)]
         last = int(np.searchsorted(now[0], now[0][-1]))  # where the last cell, perhaps not whole yet, begins
-        if last or (held and held[0][0][0] != now[0][0]):
-            yield from decide(*(np.concatenate(x) for x in zip(*held, [x[:last] for x in now], strict=True)))
-            held = []
-        held.append([x[last:] for x in now])
+        yield from decide(*(x[:last] for x in now))
+        held = [[x[last:] for x in now]]
+        waiting = len(held[0][0])
     if held:
         yield from decide(*(np.concatenate(x) for x in zip(*held, strict=True)))
 

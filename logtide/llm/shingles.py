@@ -25,8 +25,9 @@ LEAST = 0.8
 #: Texts looked at for common shingles, and most common shingles known. Both bear on speed only.
 SAMPLE = 20_000
 COMMON = 100_000
-#: Rows up to which a cell is small.
-_LARGE = 16
+#: Rows up to which a cell is small, and pairs looked at once in a larger one.
+_LARGE = 24
+_BLOCK = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -161,7 +162,13 @@ def _emit_candidates(least: float):
                     if near.any():
                         yield told(node[a[near]], node[b[near]])
         wide = mixed & (size > _LARGE)
-        rows = np.repeat(wide, size)
+        rows = np.zeros(len(keys), bool)  # of large cells, only what some other row leaves open
+        for lo, hi in zip(cut[wide].tolist(), end[wide].tolist(), strict=True):
+            step = max(1, _BLOCK // (hi - lo))
+            for i in range(lo, hi, step):
+                a, b = (slice(i, min(i + step, hi)), None), (None, slice(lo, hi))
+                near = open_(n[a], place[a], group[a], n[b], place[b], group[b])
+                rows[a[0]] |= near.any(1)
         if rows.any():
             yield told(keys[rows], node[rows], True)
 

@@ -186,8 +186,11 @@ def batches(it, names: list[str], target: int = 1 << 20):
             yield batch.slice(i, step).select(names)
 
 
-def slices(column: pa.Array, target: int = 1 << 20) -> list[pa.Array]:
-    """A text column cut so that the text of one part stays near ``target`` bytes; one part at least."""
+def slices(column: pa.Array, target: int = 1 << 18) -> list[pa.Array]:
+    """A text column cut so that the text of one part stays near ``target`` bytes; one part at least.
+
+    Array operations hold many bytes for each byte of a part, so parts are small.
+    """
     step = max(1, min(len(column), int(len(column) * target / max(column.nbytes, 1))))
     return [column.slice(i, step) for i in range(0, max(len(column), 1), step)]
 

@@ -87,20 +87,24 @@ def near(a: str, b: str, shingle: int = SHINGLE, least: float = LEAST) -> Column
 
     @F.arrow_udf("boolean")
     def check(x: pa.Array, y: pa.Array) -> pa.Array:
-        step = max(1, min(len(x), int(len(x) * (1 << 20) / max(x.nbytes + y.nbytes, 1))))
+        step = max(1, min(len(x), int(len(x) * (1 << 18) / max(x.nbytes + y.nbytes, 1))))
         return pa.array(np.concatenate([alike(x.slice(i, step), y.slice(i, step), shingle, least) for i in range(0, max(len(x), 1), step)]))
 
     return check(F.col(a), F.col(b))
 
 
 def with_node(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``text, node``; ``node`` is equal for texts with equal sets of shingles."""
+    """``text, node``; ``node`` is equal for texts with equal sets of shingles.
+
+    Joins on ``node`` would put a null test of it below, and compute it twice in
+    a second worker; of what is said to vary, Spark makes no copies.
+    """
 
     @F.arrow_udf("long")
     def node(column: pa.Array) -> pa.Array:
         return pa.array(np.concatenate([nodes(*shingle_sets(part, shingle)) for part in C.slices(column)]).view(np.int64))
 
-    return texts.select("text", node(F.col("text")).alias("node"))
+    return texts.select("text", node.asNondeterministic()(F.col("text")).alias("node"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -113,7 +117,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least:
 
 def _emit_shingles(shingle: int):
     def run(it):
-        for batch in C.batches(it, ["text"]):
+        for batch in C.batches(it, ["text"], 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column("text"), shingle)[0].view(np.int64))], ["h"])
 
     return run
@@ -121,7 +125,7 @@ def _emit_shingles(shingle: int):
 
 def _emit_prefixes(shingle: int, least: float, common: np.ndarray, level: np.ndarray):
     def run(it):
-        for batch in C.batches(it, ["text"]):
+        for batch in C.batches(it, ["text"], 1 << 18):
             hashes, offsets = shingle_sets(batch.column("text"), shingle)
             node, n = nodes(hashes, offsets), np.diff(offsets)
             once = np.zeros(len(node), bool)
@@ -249,7 +253,7 @@ def prefix_links(texts: DataFrame, groups: DataFrame, shingle: int = SHINGLE, le
             out.append(pa.StructArray.from_arrays([pa.array(nodes(hashes, offsets).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["node", "hashes"]))
         return pa.concat_arrays(out)
 
-    held = texts.select(sets("text").alias("s")).select("s.*").join(wide.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("hashes").alias("hashes"))
+    held = texts.select(sets.asNondeterministic()("text").alias("s")).select("s.*").join(wide.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("hashes").alias("hashes"))
     cells = wide.join(held, "node").join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group"), "hashes")
     alike_ = cells.repartition(C.partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_emit_alike(least), "u long, v long")
     return verified(found.where("not wide").select("u", "v"), texts, shingle, least).union(alike_)

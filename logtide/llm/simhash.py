@@ -167,7 +167,7 @@ def _sketch(text: Column, shingle: int) -> Column:
     def sketch(texts: pa.Array) -> pa.Array:
         return pa.concat_arrays([_sketches(part, shingle) for part in C.slices(texts)])
 
-    return sketch(text)
+    return sketch.asNondeterministic()(text)  # so that it is computed once a row, see shingles.with_node
 
 
 def _emit_leaders(least: float):

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import Forest
 
+#: Bits of a filter of nodes (4 MB), whatever the input. What passes it wrongly is joined in vain.
+FILTER_BITS = 1 << 25
 SHINGLE = 5
 LEAST = 0.8
 #: Texts looked at for common shingles, and most common shingles known. Both bear on speed only.
@@ -93,24 +95,46 @@ def near(a: str, b: str, shingle: int = SHINGLE, least: float = LEAST) -> Column
     return check(F.col(a), F.col(b))
 
 
-def with_node(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``text, node``; ``node`` is equal for texts with equal sets of shingles.
+def node_filter(members: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``members(node)`` as bytes: two bits a node, ``FILTER_BITS`` in all.
 
-    Joins on ``node`` would put a null test of it below, and compute it twice in
-    a second worker; of what is said to vary, Spark makes no copies.
+    Built by the executors; the driver gets the finished bits, no more for more members.
     """
+    spots = members.select(F.explode(F.array(*(F.expr(f"shiftrightunsigned(node, {k}) & {FILTER_BITS - 1}L") for k in (0, 32)))).alias("p"))
+    blocks = spots.groupBy(F.expr("p div 32768").alias("block")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("bits"))
+    out = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for r in blocks.collect():  # FILTER_BITS / 32768 rows at most
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
 
-    @F.arrow_udf("long")
-    def node(column: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([nodes(*shingle_sets(part, shingle)) for part in C.slices(column)]).view(np.int64))
 
-    return texts.select("text", node.asNondeterministic()(F.col("text")).alias("node"))
+def may_hold(bits: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Whether each node may be a member; never false for one that is."""
+    spots = [(node.view(np.uint64) >> np.uint64(k)) & np.uint64(FILTER_BITS - 1) for k in (0, 32)]
+    first, second = ((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 for p in spots)
+    return (first & second).astype(bool)
+
+
+def _emit_members(shingle: int, bits: np.ndarray):
+    def run(it):
+        for batch in C.batches(it, ["text"], 1 << 18):
+            node = nodes(*shingle_sets(batch.column("text"), shingle)).view(np.int64)
+            keep = pa.array(may_hold(bits, node))
+            yield pa.RecordBatch.from_arrays([pa.array(node), batch.column("text")], ["node", "text"]).filter(keep)
+
+    return run
+
+
+def texts_of(members: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``node, text``: one text of each of ``members(node)``. Texts that the members' filter rules out don't travel."""
+    found = texts.mapInArrow(_emit_members(shingle, node_filter(members)), "node long, text string")
+    return found.join(members, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """Those ``pairs(u, v)`` of nodes whose texts have a likeness of ``least`` or more. Only their texts travel."""
-    members = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    held = C.materialize(with_node(texts, shingle).join(members, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "members")
+    members = C.materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
+    held = C.materialize(texts_of(members, texts, shingle), "members")
     sided = pairs.join(held.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     return sided.where(near("a", "b", shingle, least)).select("u", "v")
 
@@ -166,19 +190,43 @@ def _emit_candidates(least: float):
                     if near.any():
                         yield told(node[a[near]], node[b[near]])
         wide = mixed & (size > _LARGE)
-        rows = np.zeros(len(keys), bool)  # of large cells, only what some other row leaves open
+        rows, named = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)  # of large cells, only what some other row leaves open
         for lo, hi in zip(cut[wide].tolist(), end[wide].tolist(), strict=True):
             step = max(1, _BLOCK // (hi - lo))
             for i in range(lo, hi, step):
                 a, b = (slice(i, min(i + step, hi)), None), (None, slice(lo, hi))
                 near = open_(n[a], place[a], group[a], n[b], place[b], group[b])
                 rows[a[0]] |= near.any(1)
+            left = node[lo:hi][rows[lo:hi]]
+            named[lo:hi] = C.mix(left.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)  # cells of the same nodes become one
         if rows.any():
-            yield told(keys[rows], node[rows], True)
+            yield told(named[rows], node[rows], True)
 
     return lambda it: C.whole_cells(it, decide)
 
 
+def _by_cell(decide):
+    """Calls ``decide`` with each cell's rows as a table; rows come sorted by ``key``."""
+
+    def run(it):
+        held = None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            keys = held.column("key").to_numpy()
+            if keys[0] != keys[-1]:
+                cut, end = C.cells(keys)
+                for lo, hi in zip(cut[:-1].tolist(), end[:-1].tolist(), strict=True):
+                    yield decide(held.slice(lo, hi - lo))
+                held = held.slice(int(cut[-1]))
+        if held is not None:
+            yield decide(held)
+
+    return run
+
+
 def _emit_alike(least: float):
     """Links of a cell's sets, a spanning forest of them; what a group links already is not compared.
 
@@ -211,21 +259,86 @@ def _emit_alike(least: float):
                     vs.append(max(node[i], node[j]))
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
+    return _by_cell(decide)
+
+
+def _fold(counts: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Counts of ``rows`` (each of ``size`` bins or twice as many) in ``size`` bins."""
+    out = np.zeros((len(rows), size), np.uint16)
+    for double in (False, True):
+        own = np.flatnonzero(sizes[rows] == size * (1 + double))
+        at = offsets[rows[own]][:, None] + np.arange(size * (1 + double))
+        found = counts[at].astype(np.uint16)
+        out[own] = found.reshape(len(own), size, 2).sum(2, dtype=np.uint16) if double else found
+    return out
+
+
+def bin_counts(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles of each set begin with each bit string, in about a bin for four shingles (a power of two, 16 at least), and the n + 1 offsets.
+
+    The sum of the lesser counts of two sets is never less than what they share.
+    A count stays far below 256, as hashes spread.
+    """
+    n = np.diff(offsets)
+    level = np.maximum(4, np.ceil(np.log2(np.maximum(n, 1) / 4))).astype(np.int64)
+    ends = np.append(0, np.cumsum(1 << level))
+    row = np.repeat(np.arange(len(n)), n)
+    spots = ends[:-1][row] + (hashes >> (64 - level[row]).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(spots, minlength=ends[-1]), 255).astype(np.uint8), ends
+
+
+def _emit_counts(shingle: int, bits: np.ndarray):
     def run(it):
-        held = None
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            keys = held.column("key").to_numpy()
-            if keys[0] != keys[-1]:
-                cut, end = C.cells(keys)
-                for lo, hi in zip(cut[:-1].tolist(), end[:-1].tolist(), strict=True):
-                    yield decide(held.slice(lo, hi - lo))
-                held = held.slice(int(cut[-1]))
-        if held is not None:
-            yield decide(held)
+        for batch in C.batches(it, ["text"], 1 << 18):
+            hashes, offsets = shingle_sets(batch.column("text"), shingle)
+            node = nodes(hashes, offsets).view(np.int64)
+            counts, ends = bin_counts(hashes, offsets)
+            binary = pa.Array.from_buffers(pa.large_binary(), len(node), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(counts)]).cast(pa.binary())
+            keep = pa.array(may_hold(bits, node))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.diff(offsets).astype(np.int32)), binary], ["node", "n", "counts"]).filter(keep)
+
+    return run
+
+
+def _emit_open(least: float):
+    """Rows of a cell (key, node) whose sizes and counts leave room for ``least`` with some row of another group."""
+
+    def decide(t: pa.Table):
+        order = np.argsort(-t.column("n").to_numpy(), kind="stable")
+        t = t.take(pa.array(order))
+        group, n = t.column("group").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+        binary = t.column("counts").combine_chunks().cast(pa.large_binary())
+        offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(n) + 1]
+        counts, sizes = np.frombuffer(binary.buffers()[2], np.uint8), np.diff(offsets)
+        upto = np.searchsorted(-n, -(least * n - 1e-9), "right")  # of the rows behind, those large enough
+        rows = np.zeros(len(n), bool)
+        for size in np.unique(sizes).tolist():
+            # sizes fall along the rows, so those of equal bins are neighbours; a row meets its own bins and the next lesser ones
+            lo, hi = np.flatnonzero(sizes == size)[[0, -1]] + (0, 1)
+            ahead = lo - int((sizes[:lo] == 2 * size).sum())
+            folded = _fold(counts, offsets[:-1], sizes, np.arange(ahead, hi), size)
+            for i in range(ahead, hi):
+                near = np.arange(max(i + 1, lo), min(int(upto[i]), hi))
+                near = near[(group[near] != group[i]) & ~(rows[near] & rows[i])]
+                must = least / (1 + least) * (n[i] + n[near]) - 1e-6
+                step = max(1, _BLOCK // size)
+                for k in range(0, len(near), step):
+                    part = near[k : k + step]
+                    open_ = part[np.minimum(folded[i - ahead], folded[part - ahead]).sum(1, dtype=np.int64) >= must[k : k + step]]
+                    rows[open_] = True
+                    rows[i] |= len(open_) > 0
+        return pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("node").combine_chunks()], ["key", "node"]).filter(pa.array(rows))
+
+    return _by_cell(decide)
+
+
+def _emit_sets(shingle: int, bits: np.ndarray):
+    def run(it):
+        for batch in C.batches(it, ["text"], 1 << 18):
+            hashes, offsets = shingle_sets(batch.column("text"), shingle)
+            node = nodes(hashes, offsets).view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), listed], ["node", "hashes"]).filter(pa.array(may_hold(bits, node)))
 
     return run
 
@@ -242,18 +355,15 @@ def prefix_links(texts: DataFrame, groups: DataFrame, shingle: int = SHINGLE, le
     grouped = prefixes.join(groups, "node", "left").select("key", "node", "n", "place", F.coalesce("group", "node").alias("group"))
     dealt = grouped.repartition(C.partitions(spark), "key").sortWithinPartitions("key")
     found = C.materialize(dealt.mapInArrow(_emit_candidates(least), "u long, v long, wide boolean").distinct(), "candidates")
-    # pairs of small cells are checked one by one, large cells as a whole, by their sets
+    # pairs of small cells are checked one by one; large cells by counts, and what these leave open as a whole, by sets
     wide = found.where("wide").select(F.col("u").alias("key"), F.col("v").alias("node"))
 
-    @F.arrow_udf("struct<node: long, hashes: array<long>>")
-    def sets(column: pa.Array) -> pa.Array:
-        out = []
-        for part in C.slices(column):
-            hashes, offsets = shingle_sets(part, shingle)
-            out.append(pa.StructArray.from_arrays([pa.array(nodes(hashes, offsets).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["node", "hashes"]))
-        return pa.concat_arrays(out)
-
-    held = texts.select(sets.asNondeterministic()("text").alias("s")).select("s.*").join(wide.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("hashes").alias("hashes"))
-    cells = wide.join(held, "node").join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group"), "hashes")
-    alike_ = cells.repartition(C.partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_emit_alike(least), "u long, v long")
+    def in_cells(rows: DataFrame, emit, schema: str, column: str) -> DataFrame:
+        members = C.materialize(rows.select("node").distinct(), "nodes")
+        held = texts.mapInArrow(emit(shingle, node_filter(members)), schema).join(members, "node", "left_semi").groupBy("node").agg(*(F.min(c).alias(c) for c in column.split()))
+        joined = rows.join(held, "node").join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group"), *column.split())
+        return joined.repartition(C.partitions(spark), "key").sortWithinPartitions("key", "node")
+
+    left = C.materialize(in_cells(wide, _emit_counts, "node long, n int, counts binary", "n counts").mapInArrow(_emit_open(least), "key long, node long"), "open")
+    alike_ = in_cells(left, _emit_sets, "node long, hashes array<long>", "hashes").mapInArrow(_emit_alike(least), "u long, v long")
     return verified(found.where("not wide").select("u", "v"), texts, shingle, least).union(alike_)

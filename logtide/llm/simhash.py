@@ -167,7 +167,18 @@ def _sketch(text: Column, shingle: int) -> Column:
     def sketch(texts: pa.Array) -> pa.Array:
         return pa.concat_arrays([_sketches(part, shingle) for part in C.slices(texts)])
 
-    return sketch.asNondeterministic()(text)  # so that it is computed once a row, see shingles.with_node
+    return sketch.asNondeterministic()(text)  # said to vary, so that Spark computes it once a row and not again below joins
+
+
+def _moved(text: Column, shingle: int, bits: np.ndarray) -> Column:
+    """A text's node, and whether the filter may hold it."""
+
+    @F.arrow_udf("struct<node: long, moved: boolean>")
+    def told(texts: pa.Array) -> pa.Array:
+        node = np.concatenate([S.nodes(*S.shingle_sets(part, shingle)) for part in C.slices(texts)]).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(node), pa.array(S.may_hold(bits, node))], ["node", "moved"])
+
+    return told.asNondeterministic()(text)
 
 
 def _emit_leaders(least: float):
@@ -217,10 +228,15 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sketched = rows.withColumn("sketch", _sketch(F.col("text"), shingle))
     first = F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"))
-    classes = C.materialize(sketched.select("id", "sketch.*").groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("mins").alias("mins"), F.min(first).alias("first")), "classes")
+    classes = C.materialize(sketched.select("id", "sketch.*").groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("mins").alias("mins"), F.min(first).alias("first"), F.count("*").alias("rows")), "classes")
     links = similar_links(classes.select("node", "fp", "n", "mins"), rows.select("text"), shingle, least)
     named = classes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = C.materialize(named.select("node", "rows", "component", "first"), "named")
     winners = named.groupBy("component").agg(F.min(F.struct("first.unnamed", "first.id", "node")).alias("least")).select(F.col("least.node").alias("node"))
+    # a node of one row that wins keeps its row where it is; only rows of other nodes, and what their filter can't tell from them, travel
+    winners = C.materialize(winners, "winners")
+    moved = S.node_filter(named.join(winners, "node", "left_anti").select("node").union(named.where("rows > 1").select("node")))
+    told = rows.withColumn("told", _moved(F.col("text"), shingle, moved))
     order = Window.partitionBy("node").orderBy(F.col("id").asc_nulls_last(), "text")
-    ranked = sketched.select("row", "id", "text", "sketch.node").withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    return ranked.join(winners, "node", "left_semi").select("row.*")
+    ranked = told.where("told.moved").select("row", "id", "text", "told.node").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return told.where("not told.moved").select("row.*").union(ranked.join(winners, "node", "left_semi").select("row.*"))

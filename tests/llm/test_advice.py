@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline as P
-from logtide.llm import quality, secrets
+from logtide.llm import quality, secrets, shingles
 from logtide.llm.queries import vocabulary
 
 WORDS = vocabulary("word_bpe_49k.json")
@@ -20,6 +21,16 @@ def _sets(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
+def _firsts(rows):
+    """The first of each group of rows that links of a likeness of 0.8 reach, pair by pair."""
+    up, sets = list(range(len(rows))), [_sets(t) for t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    while any(up[i] != up[j] for i, j in links):
+        for i, j in links:
+            up[i] = up[j] = min(up[i], up[j])
+    return sorted(set(up))
+
+
 def test_near_copies_reach_a_likeness_of_four_fifths(spark):
     rng = random.Random(4)
     rows = []
@@ -31,16 +42,55 @@ def test_near_copies_reach_a_likeness_of_four_fifths(spark):
             for at in rng.sample(range(len(words)), max(1, round(len(words) * rng.choice((0.01, 0.02, 0.025, 0.05))))):
                 other[at] = "x" + str(rng.random())
             rows.append(" ".join(other))
-    up = list(range(len(rows)))
-    sets = [_sets(t) for t in rows]
-    for _ in range(4):
-        for i in range(len(rows)):
-            for j in range(i):
-                if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
-                    up[i] = up[j] = min(up[i], up[j])
+    firsts = _firsts(rows)
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(rows)], DOCS).repartition(3)
     got = sorted(r.doc_id for r in P.drop_near_copies(spark, docs, "").collect())
-    assert got == sorted(set(up)) and 40 < len(got) < len(rows)
+    assert got == firsts and 40 < len(got) < len(rows)
+
+
+def test_near_copies_in_large_cells(spark):
+    """Variants of one text, most of them not alike enough, meet in cells of more than 24 rows."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    rows = []
+    for i in range(70):
+        other = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(2, 12)):
+            other[at] = "x" + str(rng.random())
+        rows.append(" ".join(other))
+    firsts = _firsts(rows)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(rows)], DOCS).repartition(3)
+    got = sorted(r.doc_id for r in P.drop_near_copies(spark, docs, "").collect())
+    assert got == firsts and 1 < len(got) < len(rows)
+
+
+def test_counts_leave_all_alike_open():
+    """Of a cell, each row with a partner of another group that is alike enough stays, whatever the sizes."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for size in (1, 3, 15, 17, 60, 63, 64, 66, 120, 300, 900):
+        whole = rng.integers(0, 1 << 64, size + size // 4, dtype=np.uint64)
+        sets += [np.unique(rng.choice(whole, size, replace=False)) for _ in range(6)] + [np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))]
+    offsets = np.append(0, np.cumsum([len(x) for x in sets]))
+    counts, ends = shingles.bin_counts(np.concatenate(sets), offsets)
+    node, group = np.arange(len(sets)), rng.integers(0, 40, len(sets))
+    cell = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(len(sets), np.int64)), pa.array(node), pa.array(group), pa.array(np.diff(offsets).astype(np.int32)), pa.array([counts[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())],
+        ["key", "node", "group", "n", "counts"],
+    )
+    for parts in ([cell], [cell.slice(0, 20), cell.slice(20)]):
+        got = {n for b in shingles._emit_open(0.8)(iter(parts)) for n in b.column("node").to_pylist()}
+        alike = lambda a, b: 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))
+        want = {i for i in node.tolist() if any(group[i] != group[j] and alike(sets[i], sets[j]) for j in node.tolist())}
+        assert len(want) > 5 and want <= got and len(got) < len(sets)
+
+
+def test_filter_holds_its_members(spark):
+    rng = np.random.default_rng(7)
+    some, other = (rng.integers(-(1 << 63), 1 << 63, 3000) for _ in range(2))
+    bits = shingles.node_filter(spark.createDataFrame([(int(x),) for x in some], "node long"))
+    assert shingles.may_hold(bits, some).all() and shingles.may_hold(bits, other).mean() < 0.01
+    assert not shingles.may_hold(shingles.node_filter(spark.createDataFrame([], "node long")), some).any()
 
 
 def test_near_copies_keep_one_row_a_group(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _written: list[tuple[SparkSession, str]] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,6 +179,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: i
     return out
 
 
+def give_back() -> None:
+    """Return memory that is free by now to the system.
+
+    Else a worker, which outlives its task, keeps the most that it ever held,
+    and an executor has a few workers.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def batches(it, names: list[str], target: int = 1 << 20):
     """Record batches cut so that the text of one stays near ``target`` bytes."""
     for batch in it:
@@ -184,6 +197,8 @@ def batches(it, names: list[str], target: int = 1 << 20):
         step = max(1, min(batch.num_rows, int(batch.num_rows * target / max(size, 1))))
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step).select(names)
+        del batch
+        give_back()
 
 
 def slices(column: pa.Array, target: int = 1 << 18) -> list[pa.Array]:
@@ -191,6 +206,7 @@ def slices(column: pa.Array, target: int = 1 << 18) -> list[pa.Array]:
 
     Array operations hold many bytes for each byte of a part, so parts are small.
     """
+    give_back()  # of the column before
     step = max(1, min(len(column), int(len(column) * target / max(column.nbytes, 1))))
     return [column.slice(i, step) for i in range(0, max(len(column), 1), step)]
 
@@ -215,10 +231,14 @@ def whole_cells(it, decide, rows: int = 1 << 16):
         now = [np.concatenate(x) for x in zip(*held, strict=True)]
         last = int(np.searchsorted(now[0], now[0][-1]))  # where the last cell, perhaps not whole yet, begins
         yield from decide(*(x[:last] for x in now))
-        held = [[x[last:] for x in now]]
+        held = [[x[last:].copy() for x in now]]  # not a view, which would hold all of ``now``
+        del now
         waiting = len(held[0][0])
+        give_back()
     if held:
         yield from decide(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    del held
+    give_back()
 
 
 def session_batches(spark: SparkSession) -> None:

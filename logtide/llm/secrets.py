@@ -199,6 +199,7 @@ def redacted(text: Column, path: str, mark: str = "[secret]") -> Column:
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
+        C.give_back()
         return pa.array([t and redact(t, secret_spans(t, path), mark) for t in texts.to_pylist()], pa.string())
 
     return clean(text)

@@ -89,6 +89,7 @@ def near(a: str, b: str, shingle: int = SHINGLE, least: float = LEAST) -> Column
 
     @F.arrow_udf("boolean")
     def check(x: pa.Array, y: pa.Array) -> pa.Array:
+        C.give_back()
         step = max(1, min(len(x), int(len(x) * (1 << 18) / max(x.nbytes + y.nbytes, 1))))
         return pa.array(np.concatenate([alike(x.slice(i, step), y.slice(i, step), shingle, least) for i in range(0, max(len(x), 1), step)]))
 
@@ -223,6 +224,8 @@ def _by_cell(decide):
                 held = held.slice(int(cut[-1]))
         if held is not None:
             yield decide(held)
+        del held
+        C.give_back()
 
     return run
 

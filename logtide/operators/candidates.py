@@ -20,7 +20,10 @@ def template_deviation(members: DataFrame) -> DataFrame:
     """Count of each (window, template) against that template's earlier windows."""
     counts = members.groupBy("window_id", "template").agg(F.count("*").alias("cnt"))
     w = Window.partitionBy("template").orderBy("window_id").rowsBetween(Window.unboundedPreceding, -1)
-    past = counts.withColumn("seen_windows", F.count("*").over(w)).withColumn("past_mean", F.coalesce(F.avg("cnt").over(w), F.lit(0.0))).withColumn("past_std", F.coalesce(F.stddev_pop("cnt").over(w), F.lit(0.0)))
+    past = counts.withColumn("seen_windows", F.count("*").over(w)).withColumn("past_mean", F.coalesce(F.avg("cnt").over(w), F.lit(0.0))).withColumn("_sum", F.sum("cnt").over(w)).withColumn("_squares", F.sum(F.col("cnt") * F.col("cnt")).over(w))
+    # whole numbers: n * squares - sum ** 2, so that the same counts in another order have the same spread and their events tie
+    whole = "cast(seen_windows as decimal(18, 0)) * cast(_squares as decimal(19, 0)) - cast(_sum as decimal(18, 0)) * cast(_sum as decimal(18, 0))"
+    past = past.withColumn("past_std", F.coalesce(F.expr(f"sqrt(cast({whole} as double)) / nullif(seen_windows, 0)"), F.lit(0.0))).drop("_sum", "_squares")
     known = F.col("seen_windows") > 0
     z = F.when(known & (F.col("past_std") > 1e-12), (F.col("cnt") - F.col("past_mean")) / F.col("past_std")).otherwise(0.0)
     out = past.withColumn("past_z", z).withColumn("ratio", F.when(known, F.col("cnt") / (F.col("past_mean") + 1)).otherwise(F.col("cnt").cast("double")))
